@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
-from . import quality
+from . import decontam, quality
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +16,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op10_quality_rules": oracles.OP10,
+    "op6_benchmark_decontamination": oracles.OP6,
 }
