@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, whole_text
+from .common import alnum_words, cut, let, whole_text
 
 WIDTH = 10
 #: Lists that are intersected before the words themselves are compared.
@@ -85,11 +85,8 @@ def phrase_hits(docs: DataFrame, index: DataFrame, windows: DataFrame, anchors:
     texts = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("row", _row_hash("doc_id"))
     texts = texts.join(keys, F.col("row") == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "row"])
     pairs = texts.join(wanted, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    exact = pairs.select("doc_id", "row", "wanted", alnum_words(whole_text()).alias("ws")).select(
-        "doc_id",
-        "row",
-        F.filter("wanted", lambda h: F.array_join(F.slice(F.col("ws"), h["start"] + 1, h["len"]), " ") == h["phrase"]).alias("hits"),
-    )
+    same = lambda ws: F.filter("wanted", lambda h: F.array_join(F.slice(ws, h["start"] + 1, h["len"]), " ") == h["phrase"])
+    exact = pairs.select("doc_id", "row", let(alnum_words(whole_text()), same).alias("hits"))
     hits = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["len"].alias("len"), h["window"].alias("window")))
     return exact.filter(F.size("hits") > 0).select("doc_id", "row", hits.alias("hits"))
 
