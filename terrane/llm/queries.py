@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
-from . import decontam, neardup, pii, quality, secrets
+from . import chat, decontam, neardup, pii, quality, secrets, sharding
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("rh")
+
+
+#: Two turns that consist of control strings, as conversation -1.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.union(probe)))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
@@ -35,7 +49,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
+    "op5_chat_formatting": op5_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
