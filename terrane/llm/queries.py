@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
-from . import chat, decontam, neardup, pii, quality, secrets, sharding
+from . import chat, decontam, html, neardup, pii, quality, secrets, sharding
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_html_extraction": op7_html_extraction,
     "op10_quality_rules": op10_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
