@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
-from . import chat, decontam, html, neardup, pii, quality, secrets, sharding
+from . import chat, decontam, html, neardup, pii, quality, secrets, sentencepiece, sharding
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_html_extraction": op7_html_extraction,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
