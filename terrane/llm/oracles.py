@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import KNOWN, SPELLINGS
+
 WHITE = r"[\x20\x09-\x0D]+"
 LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 
@@ -67,3 +69,30 @@ leaks AS (
   FROM dw LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid))
 """
 OP6 = f"WITH {DECONTAM} SELECT * FROM leaks"
+
+
+def _canonical(text: str) -> str:
+    """DuckDB expression of the canonical form of a license text."""
+    bare = rf"""trim(regexp_replace(regexp_replace(lower({text}), '(?m)^[^0-9A-Za-z(©\n]*(?:copyright *(?:\(c\)|©|[0-9<\[{{])|\(c\) *[0-9]|©|all rights reserved)[^\n]*$', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
+    for old, new in SPELLINGS:
+        bare = f"replace({bare}, '{old}', '{new}')"
+    return bare
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows)
+
+
+MARKS = "(?i)licen[cs]|permission|redistribut|public domain|warrant"
+OP9 = rf"""WITH known AS (SELECT sha256({_canonical("t")}) AS digest, min(license) AS license FROM (VALUES {_values(KNOWN)}) v(license, t) GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+units AS (
+  SELECT rid, u FROM (SELECT rid, unnest(list_concat(string_split(t, chr(10)), list_filter(regexp_split_to_array(t, '\n[ \t]*\n'), lambda p: contains(p, chr(10))))) AS u FROM docs)
+  WHERE regexp_matches(u, '{MARKS}')),
+unit_hits AS (SELECT rid, license FROM (SELECT rid, sha256({_canonical("u")}) AS digest FROM units) JOIN known USING (digest)),
+whole AS (SELECT rid, doc_id, d AS text_sha256, license AS whole_license FROM (SELECT rid, doc_id, sha256({_canonical("t")}) AS d FROM docs) LEFT JOIN known ON digest = d),
+names AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS licenses
+          FROM (SELECT rid, license FROM unit_hits UNION SELECT rid, whole_license FROM whole WHERE whole_license IS NOT NULL) GROUP BY rid)
+SELECT doc_id, text_sha256, whole_license, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_units
+FROM whole LEFT JOIN names USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM unit_hits GROUP BY rid) USING (rid)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
-from . import chat, decontam, html, neardup, pii, quality, secrets, sentencepiece, sharding
+from . import chat, decontam, html, licenses, neardup, pii, quality, secrets, sentencepiece, sharding
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -60,12 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_html_extraction": op7_html_extraction,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_license_scans": op9_license_scans,
     "op10_quality_rules": op10_quality_rules,
-    "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op10_quality_rules": oracles.OP10,
     "op6_benchmark_decontamination": oracles.OP6,
+    "op9_license_scans": oracles.OP9,
 }
