@@ -129,3 +129,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, anchors
         (n_hit > 0).alias("contaminated"),
         "row",
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents without any benchmark window; columns stay as they are."""
+    bad = cut(decontaminate(docs, items, id_col=id_col).filter("contaminated").select(F.col(id_col).alias("_id"), F.col("row").alias("_row")).distinct(), "contaminated")
+    return docs.withColumn("_hash", _row_hash(id_col)).join(_small(bad), (F.col("_hash") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_hash")

@@ -6,9 +6,10 @@ on random signature slots, and a point counts if its place on the axis lies belo
 earliest point, so two signatures agree in a slot with a probability equal to the weighted Jaccard
 similarity. Processes are drawn in ascending order and stop once they are later than the document's latest slot.
 
-Signatures are banded. In a bucket every member is compared with the bucket's least member only; members that are then
-still in another class than the bucket's largest one are compared with all others of the bucket. Thus a group of n copies costs
-about n comparisons and no candidate link between classes is left out. Every candidate is verified on the exact multisets.
+Signatures are banded. In a bucket every member is compared with one hub only, the member whose buckets are fullest. Members
+that are then still in another class than the bucket's largest one ask for partners in other classes through an exact prefix
+filter over the multisets. Thus a group of n copies costs about n comparisons, and no link between classes that a bucket
+holds is left out. Every candidate is verified on the exact multisets.
 Equal texts are one node from the start, so copies are never paired.
 
 Defined cases: words are lower-cased runs of letters and digits; a text of fewer than five words is one shingle;
@@ -18,12 +19,13 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words, cut, whole_text
@@ -204,20 +206,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _stars(shared: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b): each member of a bucket and the bucket's hub, if their sizes allow the similarity."""
+    rows = shared.join(hubs, "bucket").filter((F.col("node") != F.col("hub.node")) & (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")))
+    return rows.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def prefix_candidates(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of which one is ``asking``, that can reach the similarity: an exact filter, no sketch.
+
+    ``nodes`` has (node, root, asking). Elements are ordered from the rarest up. Two multisets that overlap in at least
+    ``need`` elements share one within the first size - need + 1 of both. ``need`` follows from both sizes, so asking nodes
+    look into size classes 2 % wide, each with a prefix as short as its sizes allow. An element that no other node has
+    can't be shared, so a text with many changes of its own asks for nothing, however large its group is.
+    """
+    share, step = similarity / (1 + similarity), math.log(1.02)
+    each = sets.join(nodes, "node").select("node", "root", "asking", F.size("shingles").alias("size"), F.explode("shingles").alias("e"))
+    each = cut(each, "elements")
+    known = each.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    of_node = Window.partitionBy("node")
+    common = each.join(known, "e")
+    place = F.col("size") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "e"))
+    ordered = common.withColumn("pos", place).filter(F.col("pos") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)
+    ordered = cut(ordered.select("e", "node", "root", "asking", "size", "pos"), "prefixes")
+    class_of = lambda size: F.floor(F.log(size) / step).cast("int")
+    # The largest partner size for which this element lies in the prefix, then the classes from the smallest partner up to it.
+    most = F.least((F.col("size") - F.col("pos") + 1) / share - F.col("size"), F.col("size") / similarity) + 1e-6
+    asked = ordered.filter("asking").withColumns({"low": class_of(similarity * F.col("size")) - 1, "high": class_of(F.greatest(most, F.lit(1.0)))}).filter("low <= high")
+    asked = asked.select("e", F.explode(F.sequence("low", "high")).alias("class"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("pos").alias("px"))
+    told = ordered.select("e", class_of(F.col("size")).alias("class"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("pos").alias("py"), "asking")
+    need = F.ceil(share * (F.col("sx") + F.col("sy")) - 1e-6)
+    fits = (F.col("rx") != F.col("ry")) & (~F.col("asking") | (F.col("x") < F.col("y"))) & (F.col("px") <= F.col("sx") - need + 1) & (F.col("py") <= F.col("sy") - need + 1)
+    return asked.join(told, ["e", "class"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, n_class) of every document row; class_id is the least doc_id of its class."""
+    """(doc_id, class_id, representative) of every document row; class_id is the least doc_id of its class."""
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("long").alias("id"), alnum_words(whole_text()).alias("w"))
     hashed = words.select("id", _key(F.col("w"), 1).alias("k1"), _key(F.col("w"), 2).alias("k2"), _hashed(F.col("w")).alias("words"))
     with _batches(spark):
         signed = cut(hashed.mapInArrow(_sign, "id long, k1 long, k2 long, n long, bands array<long>"), "signed")
-    nodes = signed.groupBy("k1", "k2", "n", "bands").agg(F.coalesce(F.min("id"), F.first("k1")).alias("node"), F.count("*").alias("copies"))
+    nodes = signed.groupBy("k1", "k2", "n", "bands").agg(F.coalesce(F.min("id"), F.first("k1")).alias("node"))
     nodes = cut(nodes, "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    shared = entries.join(hubs, "bucket").select("bucket", "node", "n", "hub")
-    fits = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")) & (F.col("node") != F.col("hub.node"))
-    stars = cut(shared.filter(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = cut(entries.join(sizes, "bucket"), "shared")
+    # The member whose buckets are fullest lies in the middle of its group; it is the first to be compared.
+    scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
+    shared = cut(shared.join(scores, "node").select("bucket", "node", "n", "members", "score"), "scored")
+    best = shared.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
+    stars = cut(_stars(shared, best, similarity), "stars")
 
     wanted = _small(shared.select("node").distinct())
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), _key(alnum_words(whole_text()), 1))).alias("node"), "text")
@@ -227,24 +266,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     links = cut(_verified(stars, sets, similarity), "links")
     roots = cut(components(links), "roots")
 
-    # Members of a bucket that the stars left in different classes: all but the bucket's largest class meet every other class.
-    placed = entries.join(hubs.filter("members > 2").select("bucket"), "bucket").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    # Buckets whose members are in several classes now: all members outside the largest class ask for partners in other classes.
+    placed = shared.filter("members > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     per_class = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     largest = per_class.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
-    split = cut(placed.join(largest, "bucket").select("bucket", "node", "n", "root", (F.col("root") == F.col("largest")).alias("main")), "split")
-    one = split.filter(~F.col("main")).select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    other = split.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main")
-    fits = (F.col("rx") != F.col("ry")) & (F.col("main") | (F.col("x") < F.col("y"))) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
-    across = one.join(other, "bucket").filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = cut(across.join(stars, ["a", "b"], "left_anti"), "across")
+    split = placed.join(largest, "bucket").groupBy("node", "root").agg(F.max(F.col("root") != F.col("largest")).alias("asking"))
+    across = cut(prefix_candidates(split, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = cut(_verified(across, sets, similarity), "links")
         if not more.isEmpty():
             roots = cut(components(links.union(more)), "roots")
 
-    classes = nodes.join(roots, "node", "left").select("k1", "k2", F.col("node").alias("_node"), F.coalesce("root", "node").alias("class_id"))
+    classes = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     rows = signed.select("id", "k1", "k2").join(classes, ["k1", "k2"])
-    # Rows that share an id but not a text are one node, so they have one class; the pair of keys is unique in ``nodes``.
     return rows.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("representative"))
 
 

@@ -11,6 +11,7 @@ document only (for 20,000 words the chance of one collision is about 1e-11).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,14 +20,14 @@ from pyspark.sql import functions as F
 from .common import let, split_words, whole_text
 
 #: Rule name -> test over the measurements. The position is the bit; append only, never reorder.
-RULES: list[tuple[str, str]] = [
-    ("few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("many_symbols", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 5 * n_lines"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
-    ("few_letters", "10 * n_letter_words < 5 * n_words"),
+RULES: list[tuple[str, Callable[[Column], Column]]] = [
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("many_symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
+    ("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 5 * m["n_lines"]),
+    ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    ("long_words", lambda m: m["word_chars"] > 20 * m["n_words"]),
+    ("few_letters", lambda m: 10 * m["n_letter_words"] < 5 * m["n_words"]),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: The two rules that every policy holds.
@@ -77,30 +78,37 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(hashes, count))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of measurements per document; all of them stay in the JVM and need no shuffle."""
-    text = whole_text(text_col)
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = docs.select(F.col(id_col), text.alias("_text"))
-    rows = base.select(id_col, split_words(F.col("_text")).alias("_words"), lines.alias("_lines"), F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
-    return rows.select(
-        id_col,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_words", lambda w: w.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))).cast("long").alias("n_letter_words"),
-        _repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-    )
+def measure(text: Column) -> Column:
+    """struct of the measurements of a text; one expression, so a filter on it evaluates nothing twice."""
 
+    def counted(x: Column) -> Column:
+        words, lines = x["words"], x["lines"]
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(x["text"], F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(words, lambda w: w.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))).cast("long").alias("n_letter_words"),
+            _repeat_words(words).cast("long").alias("n_repeat_words"),
+        )
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements plus ``fail_bits``: bit i is set where rule i fails."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(F.struct(text.alias("text"), split_words(text).alias("words"), lines.alias("lines")), counted)
+
+
+def fail_bits(m: Column) -> Column:
+    """Bit i is set where rule i fails."""
     bits = F.lit(0).cast("long")
     for i, (_, test) in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(1 << i)).otherwise(0).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+        bits = bits.bitwiseOR(F.when(test(m), F.lit(1 << i)).otherwise(0).cast("long"))
+    return bits
+
+
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: measurements and ``fail_bits``. All of it stays in the JVM and needs no shuffle."""
+    both = let(measure(whole_text(text_col)), lambda m: F.struct(m.alias("m"), fail_bits(m).alias("fail_bits")))
+    return docs.select(F.col(id_col), both.alias("_q")).select(id_col, "_q.m.*", "_q.fail_bits")
 
 
 def apply_policy(rows: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
@@ -131,3 +139,8 @@ def ablation(rows: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
             F.sum(F.when(F.col("m").bitwiseAND(F.bitwise_not(F.col("r.b"))) == 0, F.col("n")).otherwise(0)).alias("n_kept_without"),
         )
     )
+
+
+def keep(docs: DataFrame, policy: Policy = PRODUCTION, text_col: str = "text") -> DataFrame:
+    """The document rows that a policy keeps, with their columns as they are: a filter, without a join."""
+    return docs.filter(let(measure(whole_text(text_col)), fail_bits).bitwiseAND(F.lit(policy.mask | BASE_MASK)) == 0)
