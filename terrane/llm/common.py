@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +54,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back. It survives the loss of any executor."""
+def cut(df: DataFrame, name: str = "step", gather: bool = False) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back. It survives the loss of any executor.
+
+    ``gather`` deals the rows anew by size first, so that a small result makes few files and a large one stays split.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/terrane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if gather else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps a small result that several steps read in the executors' storage, spilling to disk; lost parts are computed anew from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files behind a table made by ``cut`` once nothing reads it any more."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, whole_text
+from .common import alnum_words, cut, hold, whole_text
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -180,17 +180,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node on a link (a, b): root is the least node of the connected component.
 
     Alternating large and small stars; each step is two group-bys with map-side minima and two joins that
-    may split hot keys. Links never leave the executors and every step is cut into the shared folder.
+    may split hot keys. Links never leave the executors; every step is cut into the shared folder.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
+    edges = cut(edges, "links", gather=True)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = cut(small, "links")
+        edges = cut(small, "links", gather=True)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == (now.n, now.s):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
@@ -222,13 +222,12 @@ def prefix_candidates(nodes: DataFrame, sets: DataFrame, similarity: float) -> D
     """
     share, step = similarity / (1 + similarity), math.log(1.02)
     each = sets.join(nodes, "node").select("node", "root", "asking", F.size("shingles").alias("size"), F.explode("shingles").alias("e"))
-    each = cut(each, "elements")
     known = each.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
     of_node = Window.partitionBy("node")
     common = each.join(known, "e")
     place = F.col("size") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "e"))
     ordered = common.withColumn("pos", place).filter(F.col("pos") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)
-    ordered = cut(ordered.select("e", "node", "root", "asking", "size", "pos"), "prefixes")
+    ordered = hold(ordered.select("e", "node", "root", "asking", "size", "pos"))
     class_of = lambda size: F.floor(F.log(size) / step).cast("int")
     # The largest partner size for which this element lies in the prefix, then the classes from the smallest partner up to it.
     most = F.least((F.col("size") - F.col("pos") + 1) / share - F.col("size"), F.col("size") / similarity) + 1e-6
@@ -246,36 +245,38 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     words = docs.select(F.col(id_col).cast("long").alias("id"), alnum_words(whole_text()).alias("w"))
     hashed = words.select("id", _key(F.col("w"), 1).alias("k1"), _key(F.col("w"), 2).alias("k2"), _hashed(F.col("w")).alias("words"))
     with _batches(spark):
-        signed = cut(hashed.mapInArrow(_sign, "id long, k1 long, k2 long, n long, bands array<long>"), "signed")
+        signed = hold(hashed.mapInArrow(_sign, "id long, k1 long, k2 long, n long, bands array<long>"))
+        signed.count()
     nodes = signed.groupBy("k1", "k2", "n", "bands").agg(F.coalesce(F.min("id"), F.first("k1")).alias("node"))
-    nodes = cut(nodes, "nodes")
+    nodes = hold(nodes)
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cut(entries.join(sizes, "bucket"), "shared")
+    shared = hold(entries.join(sizes, "bucket"))
     # The member whose buckets are fullest lies in the middle of its group; it is the first to be compared.
     scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
     shared = cut(shared.join(scores, "node").select("bucket", "node", "n", "members", "score"), "scored")
     best = shared.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
-    stars = cut(_stars(shared, best, similarity), "stars")
+    stars = cut(_stars(shared, best, similarity), "stars", gather=True)
 
     wanted = _small(shared.select("node").distinct())
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), _key(alnum_words(whole_text()), 1))).alias("node"), "text")
     texts = named.join(wanted, "node", "left_semi").select("node", _hashed(alnum_words(whole_text())).alias("words"))
     with _batches(spark):
-        sets = cut(texts.mapInArrow(_multisets, "node long, shingles array<long>"), "multisets")
-    links = cut(_verified(stars, sets, similarity), "links")
-    roots = cut(components(links), "roots")
+        sets = hold(texts.mapInArrow(_multisets, "node long, shingles array<long>"))
+        sets.count()
+    links = cut(_verified(stars, sets, similarity), "links", gather=True)
+    roots = components(links)
 
     # Buckets whose members are in several classes now: all members outside the largest class ask for partners in other classes.
     placed = shared.filter("members > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     per_class = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     largest = per_class.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
     split = placed.join(largest, "bucket").groupBy("node", "root").agg(F.max(F.col("root") != F.col("largest")).alias("asking"))
-    across = cut(prefix_candidates(split, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across")
+    across = cut(prefix_candidates(split, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across", gather=True)
     if not across.isEmpty():
-        more = cut(_verified(across, sets, similarity), "links")
+        more = cut(_verified(across, sets, similarity), "links", gather=True)
         if not more.isEmpty():
-            roots = cut(components(links.union(more)), "roots")
+            roots = components(links.union(more))
 
     classes = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     rows = signed.select("id", "k1", "k2").join(classes, ["k1", "k2"])
@@ -290,5 +291,5 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col
     again = found.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
     if again.isEmpty():
         return kept
-    again = _small(cut(again, "again"))
+    again = _small(hold(again))
     return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
