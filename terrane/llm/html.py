@@ -1,7 +1,8 @@
 """Main text of web pages by a site style tree.
 
 Pages of a host are merged by the style path of their elements (tag and class names from the body down). Every style node gets
-an importance from two entropies over the host's pages: of its presentations (the sequence of child elements) and of its contents.
+an importance from two entropies over the host's pages: of its presentations (the kinds of its child elements) and of its contents (all text
+in its branches).
 A node whose contents and presentation repeat from page to page is noise; branches below the threshold are
 removed from each page. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
 comments, ...) go whatever their entropy, and an element declared as the article is kept whole otherwise.
@@ -82,10 +83,11 @@ def _words(attributes: str) -> list[str]:
 class _Walk:
     """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article)."""
 
-    def __init__(self, page: str, low: frozenset[int] = frozenset()):
+    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False):
         self.stack: list[tuple[str, str, bool, bool]] = []
         self.blocks: list[tuple[str, bool]] = []  # text, is in article
-        self.nodes: dict[str, list[str]] = {}  # style path -> contents
+        self.nodes: dict[str, xxhash.xxh64] = {}  # style path -> digest of all text in its branches
+        self.tree = tree
         self.children: dict[str, list[str]] = {}  # style path -> child tags
         self.low = low
         self.buffer: list[str] = []
@@ -100,9 +102,10 @@ class _Walk:
         self.flush()
 
     def text(self, value: str) -> None:
-        _, path, noise, article = self.stack[-1] if self.stack else ("", "", False, False)
-        if value.strip():
-            self.nodes.setdefault(path, []).append(value)
+        _, _, noise, article = self.stack[-1] if self.stack else ("", "", False, False)
+        if self.tree and (said := " ".join(value.split())):
+            for _, open_path, _, _ in self.stack:
+                self.nodes.setdefault(open_path, xxhash.xxh64()).update(f"{said}\n")
         if not noise:
             self.buffer.append(value)
             self.flag = (True, article)
@@ -125,7 +128,8 @@ class _Walk:
             return
         _, path, noise, article = self.stack[-1] if self.stack else ("", "", False, False)
         words = _words(attributes)
-        self.children.setdefault(path, []).append(tag)
+        if self.tree:
+            self.children.setdefault(path, []).append(tag)
         path = f"{path}/{tag}" + "".join(f".{w}" for w in words if not w.isdigit())
         article = article or tag in ("article", "main") or "main" in words
         declared = tag in NOISE_TAGS or bool(NOISE_WORDS.intersection(words)) or (not article and (tag == "header" or bool(OUTER_WORDS.intersection(words))))
@@ -165,11 +169,11 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            walk = _Walk(page or "")
+            walk = _Walk(page or "", tree=True)
             for path in walk.nodes.keys() | walk.children.keys():
                 if path:
-                    content, shape = " ".join(walk.nodes.get(path, [])).split(), walk.children.get(path, [])
-                    rows.append((host, path, xxhash.xxh64_intdigest(" ".join(content)), xxhash.xxh64_intdigest(" ".join(dict.fromkeys(shape)))))
+                    content, shape = walk.nodes.get(path), walk.children.get(path, [])
+                    rows.append((host, path, content.intdigest() if content else 0, xxhash.xxh64_intdigest(" ".join(dict.fromkeys(shape)))))
         signed = [[x - (1 << 64) if x >= 1 << 63 else x for x in col] for col in ([r[2] for r in rows], [r[3] for r in rows], [xxhash.xxh64_intdigest(r[1]) for r in rows])]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(signed[2], pa.int64()), pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64())], ["host", "node", "content", "shape"])
 

@@ -35,7 +35,7 @@ DOTTED = re.compile(r"[0-9]\.[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = ".,;:!?\"'()[]{}<>#*$%&|"
 #: Weights of the field, in log units.
-SEEDED, PRIOR_NONE, SHAPE, CHAIN, SKIP, SIMILAR = 8.0, 1.5, 1.2, 0.15, 2.5, 1.2
+SEEDED, PRIOR_NONE, SHAPE, CHAIN, SKIP, SIMILAR = 8.0, 1.5, 1.2, 0.15, 4.0, 1.2
 ROUNDS, BELIEF = 8, 0.6
 #: Least length of a form that carries a label from one place to another.
 MIN_FORM = 5
@@ -81,6 +81,13 @@ def _form(token: str) -> str:
     return "".join(c for c in token.casefold() if c.isalnum())
 
 
+def _name(address: str) -> str:
+    """Form of an address's local part, if it is more than a plain word; else empty."""
+    local = address.split("@")[0]
+    form = _form(local)
+    return form if len(form) >= MIN_FORM and not local.isalpha() else ""
+
+
 def _similar(form: str) -> list[str]:
     """Keys that similar forms share: the last seven characters, and the form without its last digits."""
     keys = [f"tail {form[-7:]}"] if len(form) >= 9 else []
@@ -94,7 +101,7 @@ def _nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     """(start, end, form, seeded kind or -1): base spans, and tokens elsewhere whose shape or form could be data."""
     nodes = [(s, e, _form(text[s:e]), k) for s, k, e in base]
     forms = {f for _, _, f, _ in nodes}
-    names = {n for s, k, e in base if k == 0 for n in [_form(text[s:e].split("@")[0])] if len(n) >= MIN_FORM}
+    names = {_name(text[s:e]) for s, k, e in base if k == 0} - {""}
     keys = {x for f in forms | names for x in _similar(f)}
     taken, i = sorted((s, e) for s, _, e in base), 0
     for m in TOKEN.finditer(text):
@@ -133,8 +140,7 @@ def spread(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         if kind >= 0:
             unary[i, kind] += SEEDED
             if kind == 0:
-                name = _form(text[s:e].split("@")[0])
-                if len(name) >= MIN_FORM:
+                if name := _name(text[s:e]):
                     groups[f"form {name}"].append(i)
         else:
             core = text[s:e]
