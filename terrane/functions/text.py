@@ -16,6 +16,11 @@ MESSAGE_KEYWORDS = ("security", "vulnerab", "cve-", "cwe-", "exploit", "credenti
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of a text, lower-case hex."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -39,11 +44,11 @@ def lines_of(text: Column) -> Column:
 def text_metrics(text: Column) -> Column:
     """struct<line_count, token_count, blank_lines, comment_lines>."""
     lines = lines_of(text)
-    comment = lambda x: F.trim(x).startswith("#") | F.trim(x).startswith("//") | F.trim(x).startswith("/*")
+    comment = lambda x: strip(x).startswith("#") | strip(x).startswith("//") | strip(x).startswith("/*")
     return F.struct(
         F.size(lines).alias("line_count"),
         F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")).alias("token_count"),
-        F.size(F.filter(lines, lambda x: F.trim(x) == "")).alias("blank_lines"),
+        F.size(F.filter(lines, lambda x: strip(x) == "")).alias("blank_lines"),
         F.size(F.filter(lines, comment)).alias("comment_lines"),
     )
 
@@ -62,21 +67,21 @@ def diff_stats(diff: Column) -> Column:
 
 def normalise_diff(diff: Column) -> Column:
     """Lines without blank and comment ones, white space collapsed."""
-    kept = F.filter(F.split(diff, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~F.trim(x).startswith("//"))
-    return F.array_join(F.transform(kept, lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), "\n")
+    kept = F.filter(F.split(diff, "\n"), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & ~strip(x).startswith("//"))
+    return F.array_join(F.transform(kept, lambda x: F.regexp_replace(strip(x), r"\s+", " ")), "\n")
 
 
 def parse_response(raw: Column) -> Column:
     """The unified diff inside a model answer: fences are dropped, text before the first file header is cut."""
-    text = F.trim(raw)
+    text = strip(raw)
     fenced = F.regexp_extract(text, r"(?is)```(?:diff|patch)?\s*(.*?)```", 1)
-    body = F.when(text.rlike(r"(?is)```(?:diff|patch)?\s*.*?```"), F.trim(fenced)).otherwise(text)
+    body = F.when(text.rlike(r"(?is)```(?:diff|patch)?\s*.*?```"), strip(fenced)).otherwise(text)
     lines = F.split(body, "\n")
     start = F.array_position(F.transform(lines, lambda x: x.startswith("--- ")), True)
     tail = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines))
-    stop = F.array_position(F.transform(tail, lambda x: F.trim(x).startswith("```")), True)
+    stop = F.array_position(F.transform(tail, lambda x: strip(x).startswith("```")), True)
     kept = F.when(stop > 0, F.slice(tail, F.lit(1), (stop - 1).cast("int"))).otherwise(tail)
-    return F.when(start == 0, body).otherwise(F.trim(F.array_join(kept, "\n")))
+    return F.when(start == 0, body).otherwise(strip(F.array_join(kept, "\n")))
 
 
 def labels(types: Column, severities: Column, cwes: Column, tool: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PLACEHOLDER, STRONG_KEYWORDS, contains_any, content_hash, split_name
+from ..functions.text import PLACEHOLDER, STRONG_KEYWORDS, contains_any, content_hash, split_name, strip
 
 TIERS = ("A", "B", "C", "D")
 
@@ -35,7 +35,7 @@ def before_is_real() -> Column:
 def real_before() -> Column:
     """The stricter rule of the score: not blank and no placeholder."""
     code = F.coalesce("code_before", F.lit(""))
-    return (F.trim(code) != "") & ~code.contains(PLACEHOLDER)
+    return (strip(code) != "") & ~code.contains(PLACEHOLDER)
 
 
 def tier(n_smells: str = "n_smells") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.patches import reverse_patch
-from ..functions.text import PLACEHOLDER, content_hash, diff_side
+from ..functions.text import PLACEHOLDER, content_hash, diff_side, strip
 from ..operators.records import assign_splits, dedup_best, normalise, primary_key, release_best, tier
 
 
@@ -35,7 +35,7 @@ def salvage(records: DataFrame) -> DataFrame:
     new_file = missing & diff.contains("@@ -0,0")
     undone = reverse_patch(F.when(missing & ~new_file, after), F.when(missing & ~new_file, diff))
     rows = records.withColumns({"_missing": missing, "_new": new_file, "_undone": undone})
-    got = F.col("_missing") & ~F.col("_new") & (F.trim("_undone.text") != "")
+    got = F.col("_missing") & ~F.col("_new") & (strip(F.col("_undone.text")) != "")
     quality = F.when(F.col("_new"), "new_file").when(got, F.col("_undone.quality")).when(F.col("_missing"), "unavailable").otherwise(F.coalesce("code_before_quality", F.lit("api")))
     rows = rows.withColumns({"code_before_quality": quality, "code_before": F.when(F.col("_new"), "").when(got, F.col("_undone.text")).otherwise(F.col("code_before")), "has_fix": F.when(F.col("_new"), False).otherwise(F.col("has_fix"))}).drop("_missing", "_new", "_undone")
     removed = F.when(diff != "", diff_side(diff, "-")).otherwise("")
@@ -63,7 +63,7 @@ def manifest(records: DataFrame, dimensions: list[str]) -> DataFrame:
 def usable(max_chars: int = 8000, gold_only: bool = False) -> Column:
     """A training pair: a fix, both sides with content, not too long, not a no-op."""
     before, after = F.coalesce("code_before", F.lit("")), F.coalesce("code_after", F.lit(""))
-    kept = F.col("has_fix") & (F.trim(before) != "") & (F.trim(after) != "") & (F.length(before) + F.length(after) <= max_chars) & (F.trim(before) != F.trim(after))
+    kept = F.col("has_fix") & (strip(before) != "") & (strip(after) != "") & (F.length(before) + F.length(after) <= max_chars) & (strip(before) != strip(after))
     return kept & (F.size(F.coalesce("rules_before", F.array().cast("array<string>"))) > 0) if gold_only else kept
 
 
