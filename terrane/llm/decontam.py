@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, let, whole_text
+from .common import alnum_words, cut, hold, let, whole_text
 
 WIDTH = 10
 #: Lists that are intersected before the words themselves are compared.
@@ -62,7 +62,7 @@ def _anchored(index: DataFrame, windows: DataFrame, anchors: int) -> tuple[DataF
     by_window = Window.partitionBy("window")
     ranked = spread.withColumns({"seen": F.count("*").over(by_window), "rank": F.row_number().over(by_window.orderBy("n", "off"))})
     rare = ranked.filter((F.col("seen") == F.col("len")) & (F.col("rank") <= anchors))
-    return distinct, cut(rare.select("window", F.least(F.col("len"), F.lit(anchors)).alias("need"), "off", "term"), "anchors")
+    return distinct, hold(rare.select("window", F.least(F.col("len"), F.lit(anchors)).alias("need"), "off", "term"))
 
 
 def _starts(index: DataFrame, rare: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def phrase_hits(docs: DataFrame, index: DataFrame, windows: DataFrame, anchors:
     phrases = distinct.select("window", F.array_join("words", " ").alias("phrase"), F.size("words").alias("len"))
     wanted = both.join(_small(phrases), "window")
     wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "len", "window", "phrase")).alias("wanted"))
-    wanted = cut(wanted.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "candidates")
+    wanted = hold(wanted.withColumnsRenamed({"doc_id": "_id", "row": "_row"}))
     keys = _small(wanted.select("_row").distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("row", _row_hash("doc_id"))
     texts = texts.join(keys, F.col("row") == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "row"])
@@ -107,9 +107,9 @@ def near_matches(index: DataFrame, windows: DataFrame, slack: int = 4, anchors:
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, anchors: int = ANCHORS, id_col: str = "doc_id") -> DataFrame:
     """One row per document row: n_words, n_hit, n_items, items_sha256, contaminated, and ``row`` (a hash of id and text)."""
-    windows = cut(benchmark_windows(items, width), "windows")
+    windows = hold(benchmark_windows(items, width))
     index = build_index(docs, windows, id_col)
-    hits = cut(phrase_hits(docs, index, windows, anchors, id_col), "hits")
+    hits = hold(phrase_hits(docs, index, windows, anchors, id_col))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
     counted = hits.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.size(covered).cast("long").alias("n_hit"))
     found = hits.select("doc_id", "row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window"))
@@ -133,5 +133,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, anchors
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without any benchmark window; columns stay as they are."""
-    bad = cut(decontaminate(docs, items, id_col=id_col).filter("contaminated").select(F.col(id_col).alias("_id"), F.col("row").alias("_row")).distinct(), "contaminated")
+    bad = hold(decontaminate(docs, items, id_col=id_col).filter("contaminated").select(F.col(id_col).alias("_id"), F.col("row").alias("_row")).distinct())
     return docs.withColumn("_hash", _row_hash(id_col)).join(_small(bad), (F.col("_hash") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_hash")
