@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions import rules
 from .functions.text import MESSAGE_KEYWORDS, PLACEHOLDER, SIGNAL_KEYWORDS, STRONG_KEYWORDS
 from .functions.tools import ANSIBLE, CLOUDFORMATION, DOCKER_START, KUBERNETES, SIGNATURES, TERRAFORM
+from .plans.searches import CWES, ISSUES, PREFIXES, SCANNERS, TOOLS, VERBS
 
 Q = lambda s: "'" + s.replace("'", "''") + "'"
 any_of = lambda col, words: "(" + " OR ".join(f"contains({col}, {Q(w)})" for w in words) + ")"
@@ -155,3 +156,30 @@ ORACLES: dict[str, str] = {
     "signed_rank": "WITH d AS (SELECT l_extendedprice - l_quantity * 1500 AS d FROM lineitem), v AS (SELECT abs(d) AS a, count(*) AS m, sum((d > 0)::INTEGER) AS up FROM d WHERE d <> 0 GROUP BY 1), r AS (SELECT *, coalesce(sum(m) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (m + 1) / 2.0 AS rank FROM v) SELECT sum(up * rank)::DOUBLE AS w_plus, sum((m - up) * rank)::DOUBLE AS w_minus, sum(m)::BIGINT AS n FROM r",
     "account_halves": "SELECT s_suppkey, CASE WHEN n <= (m + 1) // 2 THEN 1 ELSE 2 END AS half, (n % 2)::INTEGER AS odd FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n, count(*) OVER () AS m FROM supplier)",
 }
+
+
+def _values(words: tuple[str, ...]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {Q(w)})" for i, w in enumerate(words)) + ")"
+
+
+_RANKED = ORACLES["retrieval_metrics"].split(", r AS (")[0]
+_ATTEMPTS = "a AS (SELECT user_id AS file_id, min(CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN event_id % 3 + 1 END) AS first FROM events GROUP BY 1), s AS (SELECT avg((coalesce(first, 9) <= 1)::INTEGER)::DOUBLE AS s1, avg((coalesce(first, 9) <= 2)::INTEGER)::DOUBLE AS s2, avg((coalesce(first, 9) <= 3)::INTEGER)::DOUBLE AS s3 FROM a)"
+_WINDOWS = "w AS (SELECT greatest(DATE '2023-11-01', (d - INTERVAL 13 DAY)::DATE) AS start, d::DATE AS stop FROM generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2023-11-01', INTERVAL (-14) DAY) g(d))"
+ORACLES |= {
+    "context_precision": f"{_RANKED}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) AS rank FROM p) WHERE rank <= 5), c AS (SELECT *, sum(relevant::INTEGER) OVER (PARTITION BY query_id ORDER BY rank) / rank AS pk FROM k) SELECT query_id::BIGINT AS query_id, round(CASE WHEN sum(relevant::INTEGER) > 0 THEN sum(CASE WHEN relevant THEN pk END) / sum(relevant::INTEGER) ELSE 0.0 END, 9)::DOUBLE AS context_precision FROM c GROUP BY 1",
+    "success_at": f"WITH {_ATTEMPTS} SELECT s1 AS sr_at_1, s2 AS sr_at_2, s3 AS sr_at_3 FROM s",
+    "retry_benefit": f"WITH {_ATTEMPTS} SELECT round(s1, 9) AS fa_sr, round(s2 - s1, 9) AS delta_r_at_2, round(s3 - s1, 9) AS delta_r_at_3 FROM s",
+    "cost_metrics": "WITH c AS (SELECT length(text) AS i, turn AS o, role = 'assistant' AS v FROM conversations) SELECT round(avg(i), 6) AS avg_in, round(avg(o), 6) AS avg_out, round(sum(i * 0.15::DOUBLE + o * 0.6::DOUBLE) / count(*), 6) AS cost_per_script, round(sum(i * 0.15::DOUBLE + o * 0.6::DOUBLE) / nullif(count(*) FILTER (v), 0), 6) AS cost_per_valid FROM c",
+    "dataset_statistics": "SELECT 'iac_tool' AS dimension, event_type AS key, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'category', (user_id % 3)::VARCHAR, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'cwe', 'CWE-' || (event_id % 18), count(*) FROM events GROUP BY 2",
+    "top_tools": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL ORDER BY n DESC, lang, source LIMIT 6",
+    "validation_stats": "SELECT count(*) FILTER (quality IS NOT NULL AND quality <> 0) AS processed, count(*) FILTER (quality IS NULL) AS skipped, count(*) FILTER (quality = 0) AS errored, count(*) FILTER (quality IS NOT NULL AND toxic > 0) AS with_findings FROM documents LEFT JOIN labels USING (doc_id)",
+    "ordered_unique": "SELECT o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1",
+    "commit_queries": f"WITH q AS (SELECT v.i * {len(ISSUES) * len(TOOLS)} + s.i * {len(TOOLS)} + t.i AS ord, v.w || ' ' || s.w || ' ' || t.w AS query FROM {_values(VERBS)} v(i, w), {_values(ISSUES)} s(i, w), {_values(TOOLS)} t(i, w) UNION ALL SELECT c.i * {len(TOOLS)} + t.i + 1000000, c.w || ' fix ' || t.w FROM {_values(CWES)} c(i, w), {_values(TOOLS)} t(i, w) UNION ALL SELECT s.i * 3 + f.i + 2000000, replace(f.w, '#', s.w) FROM {_values(SCANNERS)} s(i, w), (VALUES (0, 'fix #'), (1, '# failed fix'), (2, '# finding fix')) f(i, w) UNION ALL SELECT p.i + 3000000, p.w || ' fix' FROM {_values(PREFIXES)} p(i, w)) SELECT query, min(ord)::BIGINT AS ord FROM q GROUP BY 1",
+    "work_units": f"WITH {_WINDOWS} SELECT r_name AS query, start, stop FROM region, w WHERE NOT (r_name = 'ASIA' AND stop >= DATE '2024-01-16')",
+    "progress_merge": "SELECT user_id AS unit, max(event_id % 50) AS last_page, bool_or(event_type = 'view') AS done FROM events GROUP BY 1",
+    "version_pairs": "SELECT e.event_id AS commit_sha, p.props AS code_before, e.props AS code_after FROM events e LEFT JOIN events p ON p.event_id = e.event_id - 1 AND p.user_id = e.user_id AND p.event_type = e.event_type",
+    "pairwise_agreement": "WITH r AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id, event_type), i AS (SELECT user_id, sum(n) AS m, sum(n * (n - 1)) AS s FROM r GROUP BY 1) SELECT round(avg(s::DOUBLE / (m * (m - 1))), 9) AS rpa FROM i WHERE m > 1",
+    "group_keys": "SELECT array_to_string(string_split(url, '/')[1:4], '/') AS key, count(*) AS n FROM pages GROUP BY 1",
+    "prompts": f"WITH {RECORDS} SELECT id, md5('Fix the security smells in this ' || iac_tool || ' file.' || chr(10) || 'Smells:' || chr(10) || array_to_string(list_transform(smell_types, lambda t: '- ' || t), chr(10)) || chr(10) || 'Code:' || chr(10) || code_before) AS prompt_md5, md5('IaC tool: ' || iac_tool || '. Security issues: ' || array_to_string(smell_types, '; ') || '. How to fix?' || CASE input_rank WHEN 1 THEN ' Focus on minimal, targeted changes only.' WHEN 2 THEN ' Provide the most conservative and safe remediation possible.' ELSE '' END) AS query_md5 FROM records",
+    "primary_keys": f"WITH {RECORDS} SELECT id, md5('content' || chr(1) || content_hash) AS key_md5 FROM records",
+}

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import rules, text, tools
-from .operators import evaluation, pairing
+from .operators import evaluation, filters, pairing, summaries
 from .operators import records as rec
-from .plans import corpus
+from .plans import corpus, searches
 from .plans.testviews import records, table
 from .streaming import monitor
 
@@ -326,3 +326,106 @@ def signed_rank(spark, d):
 def account_halves(spark, d):
     n = F.row_number().over(Window.orderBy("s_suppkey"))
     return table(spark, d, "supplier").select("s_suppkey", F.ntile(2).over(Window.orderBy("s_suppkey")).alias("half"), (n % 2).alias("odd"))
+
+
+@query
+def context_precision(spark, d):
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_idx")))
+    found = summaries.context_precision(_taxonomy_scores(spark).withColumn("rank", rank), 5)
+    return found.select("query_id", F.round("context_precision", 9).alias("context_precision"))
+
+
+def _attempts(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("file_id"), (F.col("event_id") % 3 + 1).alias("attempt"), ((F.col("event_type") == "purchase") & (F.col("event_id") % 7 == 0)).alias("valid"))
+
+
+@query
+def success_at(spark, d):
+    return evaluation.success_at(_attempts(spark, d))
+
+
+@query
+def retry_benefit(spark, d):
+    return summaries.retry_benefit(evaluation.success_at(_attempts(spark, d))).select(*[F.round(c, 9).alias(c) for c in ("fa_sr", "delta_r_at_2", "delta_r_at_3")])
+
+
+@query
+def cost_metrics(spark, d):
+    calls = table(spark, d, "conversations").select(F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"), (F.col("role") == "assistant").alias("valid"))
+    found = summaries.costs(calls, 0.15, 0.6)
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query
+def dataset_statistics(spark, d):
+    smells = table(spark, d, "events").select(F.col("event_type").alias("iac_tool"), (F.col("user_id") % 3).cast("string").alias("category"), F.concat(F.lit("CWE-"), (F.col("event_id") % 18).cast("string")).alias("cwe"))
+    return summaries.dataset_statistics(smells)
+
+
+@query
+def top_tools(spark, d):
+    return summaries.top_counts(table(spark, d, "documents"), ["lang", "source"], 6)
+
+
+@query
+def validation_stats(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    done, failed = F.col("quality").isNotNull(), F.coalesce("quality", F.lit(1)) == 0
+    return summaries.validation_stats(rows, done, failed, F.coalesce("toxic", F.lit(0)))
+
+
+@query
+def ordered_unique(spark, d):
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_orderkey")
+    return filters.ordered_unique(rows, "o_orderpriority", "o_orderkey")
+
+
+@query
+def commit_queries(spark, d):
+    return searches.commit_queries(spark)
+
+
+@query
+def work_units(spark, d):
+    verbs = table(spark, d, "region").select(F.col("r_name").alias("query"))
+    windows = searches.date_windows(spark, "2023-11-01", "2024-01-30")
+    done = windows.filter("stop >= date'2024-01-16'").withColumn("query", F.lit("ASIA"))
+    return searches.work_units(verbs, windows, done)
+
+
+@query
+def progress_merge(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("unit"), (F.col("event_id") % 50).alias("last_page"), (F.col("event_type") == "view").alias("done"))
+    return searches.merge_progress(e.filter("last_page < 25"), e.filter("last_page >= 25"))
+
+
+@query
+def version_pairs(spark, d):
+    e = table(spark, d, "events")
+    files = e.select(F.col("user_id").alias("repo"), F.col("event_type").alias("path"), F.col("event_id").alias("commit_sha"), (F.col("event_id") - 1).alias("parent_sha"))
+    versions = e.select(F.col("user_id").alias("repo"), F.col("event_type").alias("path"), F.col("event_id").alias("ref"), F.col("props").alias("content"))
+    return filters.version_pairs(files, versions).select("commit_sha", "code_before", "code_after")
+
+
+@query
+def pairwise_agreement(spark, d):
+    r = table(spark, d, "events").groupBy(F.col("user_id").alias("item"), F.col("event_type").alias("category")).agg(F.count("*").alias("n"))
+    return summaries.pairwise_agreement(r).select(F.round("rpa", 9).alias("rpa"))
+
+
+@query
+def group_keys(spark, d):
+    return table(spark, d, "pages").groupBy(filters.group_key(F.col("url"), 4).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query
+def prompts(spark, d):
+    text_ = corpus.render_prompt(F.col("iac_tool"), F.col("smell_types"), F.col("code_before"))
+    ask = corpus.retrieval_query(F.col("iac_tool"), F.col("smell_types"), F.col("input_rank"))
+    return records(spark, d).select("id", F.md5(text_).alias("prompt_md5"), F.md5(ask).alias("query_md5"))
+
+
+@query
+def primary_keys(spark, d):
+    return records(spark, d).select("id", F.md5(rec.primary_key()).alias("key_md5"))

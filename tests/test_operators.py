@@ -157,3 +157,52 @@ def test_every_query_has_an_oracle():
 
     missing = {q for q in entry.queries() if q not in entry.oracle_sql()}
     assert {q for q in missing if not q.startswith("op") and q != "pipeline"} == set()
+
+
+def test_filters_and_trees(spark):
+    from terrane.operators import filters
+
+    tree = spark.createDataFrame([("blob", "a/main.tf", 10), ("blob", "a/main.tf", 10), ("blob", "a/big.tf", 10**6), ("tree", "a/x.tf", 1), ("blob", "a/readme.md", 1), ("blob", "b/Dockerfile", 1)], "type string, path string, size int")
+    assert sorted(r.path for r in filters.tree_files(tree).collect()) == ["a/main.tf", "b/Dockerfile"] and filters.tree_files(tree, 1).count() == 1
+    rows = spark.createDataFrame([("good/a.tf", "x", 0), ("bad/a.tf", "x", 0), ("good/b.tf", "x", 2), ("bad/c.tf", "", 0)], "path string, content string, n_smells int")
+    got = {r.path: (r.code_before, r.code_after) for r in filters.good_or_bad(rows).collect()}
+    assert got == {"bad/a.tf": ("x", None), "good/b.tf": ("x", "x")}
+    sides = spark.createDataFrame([("q/positive1.tf", 0), ("q/negative/x.tf", 3), ("q/x.tf", 1), ("q/y.tf", 0)], "p string, n int").select(filters.example_side(F.col("p"), F.col("n")).alias("s"))
+    assert [r.s for r in sides.collect()] == ["positive", "negative", "positive", "negative"]
+    flags = spark.createDataFrame([("removed", "", "x", "docker", 0, "tidy"), (None, "a", None, "unknown", 0, "Fix CVE")], "st string, b string, p string, t string, n int, m string")
+    out = flags.select(filters.alive(F.col("st")).alias("a"), filters.has_sides(F.col("b"), F.col("p"), F.col("t")).alias("h"), filters.has_signal(F.col("n"), F.col("m")).alias("s"), filters.message_signal(F.col("m")).alias("g"), filters.fits(F.col("m"), 4).alias("f"), filters.describes_code(F.col("t")).alias("d")).collect()
+    assert [tuple(r) for r in out] == [(False, True, False, False, True, True), (True, False, True, True, False, False)]
+
+
+def test_summaries(spark):
+    from terrane.operators import summaries
+    from terrane.plans import searches
+
+    s = spark.createDataFrame([("exact", 2), ("partial", -1), ("unavailable", 0)], "code_before_quality string, smells_added int")
+    r = summaries.salvage_stats(s).first()
+    assert (r.total, r.exact, r.partial, r.unrecoverable, r.smells_added) == (3, 1, 1, 1, 2)
+    scans = spark.createDataFrame([("tf", (3, 1)), ("tf", (1, 1))], "check_type string, summary struct<passed: int, failed: int>")
+    assert tuple(summaries.scan_totals(scans).first()) == ("tf", 4, 2)
+    calls = spark.createDataFrame([(1, a) for a in range(10)], "call_id long, attempt int")
+    delays = [r.delay for r in summaries.backoff(calls).orderBy("attempt").collect()]
+    assert all(0.75 * min(60, 2**a) <= d < 1.25 * min(60, 2**a) for a, d in enumerate(delays))
+    smells = F.array(F.struct(F.lit("root_user").alias("type"), F.lit(3).alias("line"), F.lit("CWE-250").alias("cwe"), F.lit(None).cast("string").alias("description")))
+    text = spark.range(1).select(summaries.explanation(smells, F.lit(2), F.lit(3)).alias("x")).first().x
+    assert "### Root User" in text and "[CWE-250]" in text and text.endswith("Net change: -1 lines")
+    assert searches.halves(searches.commit_queries(spark), "ord").groupBy("account").count().count() == 2
+    items = spark.range(1).select(rec.dedupe_array(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(c).cast("string").alias("cwe"), F.lit(i).alias("n")) for i, (t, c) in enumerate([("a", None), ("a", None), ("a", "x"), ("b", None)])]), ["type", "cwe"]).alias("i")).first().i
+    assert [x.n for x in items] == [0, 2, 3]
+
+
+def test_connector_and_table_function(spark, tmp_path):
+    from terrane.functions import table_functions
+    from terrane.sources import connector
+
+    connector.register(spark)
+    (tmp_path / "p1.json").write_text(json.dumps({"unit": "q::w", "page": 2, "items": [{"sha": "1"}, {"sha": "2"}]}))
+    rows = spark.read.format("recorded").option("path", str(tmp_path)).load()
+    assert sorted(json.loads(r.item)["sha"] for r in rows.collect()) == ["1", "2"] and rows.first().page == 2
+    table_functions.register(spark)
+    spark.createDataFrame([(1, "privileged: true")], "i int, t string").createOrReplaceTempView("scripts")
+    assert [r.type for r in spark.sql("SELECT s.type FROM scripts, LATERAL smells(t) s").collect()] == ["privileged_container"]
+    assert [r.smell.type for r in table_functions.smells_of(spark.table("scripts"), "t").collect()] == ["privileged_container"]
