@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import CONTROLS, END, ESC, START
 from .licenses import KNOWN, SPELLINGS
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -96,3 +97,22 @@ names AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS licenses
           FROM (SELECT rid, license FROM unit_hits UNION SELECT rid, whole_license FROM whole WHERE whole_license IS NOT NULL) GROUP BY rid)
 SELECT doc_id, text_sha256, whole_license, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_units
 FROM whole LEFT JOIN names USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM unit_hits GROUP BY rid) USING (rid)"""
+
+
+def _escaped(text: str) -> str:
+    """DuckDB expression of an escaped text."""
+    out = f"replace({text}, chr({ord(ESC)}), chr({ord(ESC)}) || chr({ord(ESC)}))"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', chr({ord(ESC)}) || '{control}')"
+    return out
+
+
+_ROLE = _escaped("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")
+OP5 = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len(START) + 1 + len(END)} + length({_ROLE}) + length({_escaped("text")}))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""

@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op10_quality_rules": oracles.OP10,
+    "op5_chat_formatting": oracles.OP5,
     "op6_benchmark_decontamination": oracles.OP6,
     "op9_license_scans": oracles.OP9,
 }

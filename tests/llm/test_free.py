@@ -140,6 +140,25 @@ def test_pii_base_and_spread(spark):
         assert set(base) <= set(pii.spread(t or "", base))
 
 
+def brute_pii(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = [int(c) for c in m[0] if c in "0123456789"][::-1]
+        luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits))
+        found += [(m.start(), 2, m.end())] if 14 <= len(digits) <= 19 and luhn % 10 == 0 else []
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= sum(c in "0123456789" for c in m[0]) <= 15]
+    return sorted(found)
+
+
+def test_pii_base_equals_the_patterns():
+    random.seed(8)
+    parts = ["a", "é", ".", "@", "1", "25", "300", "+", "-", " ", "(", "b.c", "@x.y", "1.2.3.4", "4845168114407329", "+1 (017) 555-7713", "\n", "0", "٣"]
+    for _ in range(4000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 25)))
+        assert pii.base_spans(text) == brute_pii(text), text
+
+
 def test_pii_mask_keeps_rows_and_columns(spark):
     docs = docs_of(spark, [(1, "mail a.b@c.de!"), (2, None), (3, "clean")])
     masked = pii.mask(docs)
