@@ -22,12 +22,22 @@ def prf(rows: DataFrame) -> DataFrame:
 def match(detections: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     """(det_id, gt_id): each detection with its first truth of the same file and check, within the tolerance or without a line.
 
-    An equi join with a residual range; HEURISTIC detections never match.
+    Both sides are reduced to one row per (file, check, line) before they meet, and meet on buckets of lines, so a hot file
+    costs its distinct lines times the tolerance and never all pairs. HEURISTIC detections never match.
     """
-    d = detections.filter("check <> 'HEURISTIC'").select("file", "check", "det_id", F.col("line").alias("dl"))
-    g = truth.select("file", "check", "gt_id", F.col("line").alias("gl"))
-    near = (F.abs(F.col("dl") - F.col("gl")) <= tolerance) | F.col("dl").isNull() | F.col("gl").isNull()
-    return d.join(g, ["file", "check"]).filter(near).groupBy("det_id").agg(F.min("gt_id").alias("gt_id"))
+    keys, width = ["file", "check"], tolerance + 1
+    lines = truth.groupBy(*keys, "line").agg(F.min("gt_id").alias("gt"))
+    whole = lines.groupBy(*keys).agg(F.min("gt").alias("any_gt"), F.min(F.when(F.col("line").isNull(), F.col("gt"))).alias("open_gt"))
+    asked = detections.filter("check <> 'HEURISTIC'").select(*keys, "line").distinct()
+    bucket = F.floor(F.col("line") / width)
+    near = asked.filter("line is not null").select(*keys, F.col("line").alias("dl"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    near = near.join(lines.filter("line is not null").select(*keys, F.col("line").alias("gl"), "gt", bucket.alias("bucket")), [*keys, "bucket"])
+    near = near.filter(F.abs(F.col("dl") - F.col("gl")) <= tolerance).groupBy(*keys, F.col("dl").alias("line")).agg(F.min("gt").alias("near_gt"))
+    found = asked.join(whole, keys).join(near, [*keys, "line"], "left")
+    gt = F.when(F.col("line").isNull(), F.col("any_gt")).otherwise(F.least("near_gt", "open_gt"))
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "line"]], gt.alias("gt_id")).filter("gt_id is not null")
+    same = (F.col("file") == F.col("_file")) & (F.col("check") == F.col("_check")) & F.col("line").eqNullSafe(F.col("_line"))
+    return detections.join(found, same).select("det_id", "gt_id")
 
 
 def detection_counts(detections: DataFrame, truth: DataFrame, tolerance: int, by: str | None = None) -> DataFrame:
@@ -124,12 +134,15 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
 def signed_rank(pairs: DataFrame) -> DataFrame:
     """Wilcoxon signed-rank statistic over (x, y): W+, W-, n, z (ties share ranks, zero differences go).
 
-    Equal absolute differences are summed first, so ranks come from a running count over distinct values.
+    Equal absolute differences are summed first. Ranks are made in two steps: values fall into logarithmic buckets (at most some
+    thousands, whose counts give every bucket its first rank), then rank within their bucket only.
     """
     d = pairs.select((F.col("x") - F.col("y")).alias("d")).filter("d <> 0")
-    values = d.groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("up"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank", before + (F.col("m") + 1) / 2)
+    values = d.groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("up")).withColumn("bucket", F.floor(F.log2("a") * 64).cast("int"))
+    upto = F.sum("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = values.groupBy("bucket").agg(F.sum("m").alias("m")).select("bucket", F.coalesce(upto, F.lit(0)).alias("first"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("bucket").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = values.withColumn("before", before).join(firsts, "bucket").withColumn("rank", F.col("first") + F.col("before") + (F.col("m") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((F.col("m") - F.col("up")) * F.col("rank")).alias("w_minus"), F.sum("m").alias("n"))
     n = F.col("n")
     return sums.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))

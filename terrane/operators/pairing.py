@@ -53,16 +53,17 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(at)).filter("_n = 1").drop("_n")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, distance, rank): Euclidean neighbours of a bounded set of queries among all vectors.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256, broadcast_queries: int = 50_000) -> DataFrame:
+    """(query_id, vec_id, distance, rank): Euclidean neighbours of a stated set of queries among all vectors.
 
-    Queries (a stated, small set) meet every vector in blocks: they are gathered into one row per block of 64 and that
-    block is broadcast, so a vector row is read once; partial top-k lists are cut before the final ranking.
+    Queries are packed into blocks of bounded size and every vector meets every block; blocks are broadcast while the queries
+    are proven few, else both sides are shuffled by block. Spark cuts each task's lists to k rows before the final ranking.
     """
-    blocks = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")).withColumn("_b", F.pmod(F.hash("q"), F.lit(16)))
-    packed = blocks.groupBy("_b").agg(F.collect_list(F.struct("q", "qe")).alias("qs"))
-    spread = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(15)))).join(small(packed), "_b")
-    pairs = spread.select("vec_id", "embedding", F.inline("qs"))
+    count = queries.count()
+    blocks = max(1, -(-count // block))
+    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))).alias("qs"))
+    spread = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = spread.join(F.broadcast(packed) if count <= broadcast_queries else packed, "_b").select("vec_id", "embedding", F.inline("qs"))
     d = F.sqrt(F.aggregate(F.zip_with("embedding", "qe", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
     near = pairs.select(F.col("q").alias("query_id"), "vec_id", d.alias("distance"))
     rank = Window.partitionBy("query_id").orderBy("distance", "vec_id")
