@@ -17,9 +17,12 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words of the broadcast dictionary, their greatest length, words that a worker remembers besides.
 DICTIONARY, LONGEST, REMEMBERED = 1 << 17, 32, 1 << 17
-UNKNOWN_PENALTY = 10.0
+UNKNOWN_PENALTY, NO_RANK = 10.0, -math.inf
 BATCH_DOCS = 500
 
 
@@ -48,6 +51,11 @@ class Model:
     longest: int
     least: float
     text: list[bytes] = field(default_factory=list)
+    ranks: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def rank(self):
+        return self.ranks.get
 
     @classmethod
     def load(cls, path: str = MODEL_PATH, kind: str | None = None) -> Model:
@@ -66,7 +74,7 @@ class Model:
         unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         text = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         kind = kind or {1: "unigram", 2: "bpe"}[proto.trainer_spec.model_type]
-        return cls([p.piece for p in proto.pieces], [p.score for p in proto.pieces], kind, usable, bytes_at, unknown, max(map(len, usable)), min(s for _, s in usable.values()), text)
+        return cls([p.piece for p in proto.pieces], [p.score for p in proto.pieces], kind, usable, bytes_at, unknown, max(map(len, usable)), min(s for _, s in usable.values()), text, {p: s for p, (_, s) in usable.items()})
 
     def _without_piece(self, char: str) -> list[int]:
         return [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.unknown]
@@ -77,6 +85,26 @@ class Model:
 
     def _merge(self, word: str) -> list[int]:
         """Merges the neighbours whose union ranks best, leftmost first, until none is a piece."""
+        return self._merge_short(word) if len(word) <= 2 * LONGEST else self._merge_long(word)
+
+    def _merge_short(self, word: str) -> list[int]:
+        usable, rank = self.usable, self.rank
+        bounds = list(range(len(word) + 1))
+        ranks = [rank(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
+        while ranks and (best := max(ranks)) > NO_RANK:
+            i = ranks.index(best)
+            del bounds[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(word[bounds[i - 1] : bounds[i + 1]], NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank(word[bounds[i] : bounds[i + 2]], NO_RANK)
+        ids: list[int] = []
+        for s, e in pairwise(bounds):
+            found = usable.get(word[s:e])
+            ids += [found[0]] if found else self._without_piece(word[s:e])
+        return ids
+
+    def _merge_long(self, word: str) -> list[int]:
         usable, n = self.usable, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ends = after[:]
@@ -131,6 +159,15 @@ def mark(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def bare_words(text: str) -> list[str]:
+    """The words of a text, each without its first mark. Single spaces between words take the fast path."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+        return [w[1:] for w in WORDS.findall(mark(text))]
+    return text.split(" ")
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """(piece, id, score): as many rows as the vocabulary file has pieces."""
     return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.usable.items()], "piece string, id int, score double")
@@ -214,11 +251,11 @@ def fold(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("word", let(spans, merge if model.kind == "bpe" else viterbi).alias("ids"))
 
 
-def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, tuple[int, ...]]:
-    """Ids of the frequent words: at most ``most`` words of at most ``LONGEST`` characters reach the driver."""
+def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
+    """Packed ids of the frequent words, keyed without their first mark: at most ``most`` words of at most ``LONGEST`` characters reach the driver."""
     words = cut(frequent_words(docs, most), "frequent")
     rows = cut(fold(lattice(words, piece_table(docs.sparkSession, model), model.longest), model), "encoded")
-    return {r.word: tuple(r.ids) for r in rows.toLocalIterator()}
+    return {r.word[1:]: array("i", r.ids).tobytes() for r in rows.toLocalIterator()}
 
 
 def encode(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", most: int = DICTIONARY) -> DataFrame:
@@ -228,25 +265,29 @@ def encode(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        more: dict[str, tuple[int, ...]] = {}
+        more: dict[str, bytes] = {}
+
+        def fold(word: str) -> bytes:
+            found = more.get(word)
+            if found is None:
+                found = array("i", model.fold(SPACE + word)).tobytes()
+                if len(word) < LONGEST:
+                    if len(more) >= REMEMBERED:
+                        more.clear()
+                    more[word] = found
+            return found
+
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
                 out, same = [], []
                 for text in part.column(1).to_pylist():
-                    ids: list[int] = []
-                    for word in WORDS.findall(mark(text or "")):
-                        found = known.get(word) or more.get(word)
-                        if found is None:
-                            found = tuple(model.fold(word))
-                            if len(word) <= LONGEST:
-                                if len(more) >= REMEMBERED:
-                                    more.clear()
-                                more[word] = found
-                        ids.extend(found)
-                    out.append(ids)
-                    same.append(model.decode(ids) == (text or ""))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(same)], ["id", "n_ids", "ids", "round_trip"])
+                    packed = b"".join([known.get(w) or fold(w) for w in bare_words(text or "")])
+                    out.append(packed)
+                    same.append(model.decode(memoryview(packed).cast("i").tolist()) == (text or ""))
+                sizes = np.array([len(x) // 4 for x in out])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), ids, pa.array(same)], ["id", "n_ids", "ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_ids long, ids array<int>, round_trip boolean")
