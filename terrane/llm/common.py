@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 #: What lies between words of letters and digits: all of ASCII but 0-9 and a-z (the text is lower-cased first).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Tables that ``cut`` has written.
+WRITTEN: list[str] = []
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -61,6 +63,7 @@ def cut(df: DataFrame, name: str = "step", gather: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/terrane-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     (df.hint("rebalance") if gather else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,11 +73,8 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files behind a table made by ``cut`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in df.inputFiles()[:1]:
-        top = path.rsplit("/", 1)[0]
-        if "/terrane-" in top:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(top)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that ``cut`` has written in this session; call it once their results are stored elsewhere."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, whole_text
+from .common import hold, let, whole_text
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words of the broadcast dictionary, their greatest length, words that a worker remembers besides.
 DICTIONARY, LONGEST, REMEMBERED = 1 << 17, 32, 1 << 17
+#: Tasks that share the dictionary's lattice, whose size is bounded.
+FOLDERS = 64
 UNKNOWN_PENALTY, NO_RANK = 10.0, -math.inf
 BATCH_DOCS = 500
 
@@ -53,10 +55,6 @@ class Model:
     text: list[bytes] = field(default_factory=list)
     ranks: dict[str, float] = field(default_factory=dict)
 
-    @property
-    def rank(self):
-        return self.ranks.get
-
     @classmethod
     def load(cls, path: str = MODEL_PATH, kind: str | None = None) -> Model:
         """Reads a model file on the driver; ``kind`` overrides the file's own ("bpe" or "unigram")."""
@@ -88,21 +86,20 @@ class Model:
         return self._merge_short(word) if len(word) <= 2 * LONGEST else self._merge_long(word)
 
     def _merge_short(self, word: str) -> list[int]:
-        usable, rank = self.usable, self.rank
-        bounds = list(range(len(word) + 1))
-        ranks = [rank(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
-        while ranks and (best := max(ranks)) > NO_RANK:
+        rank, usable, parts = self.ranks.get, self.usable, list(word)
+        ranks = [rank(a + b, NO_RANK) for a, b in pairwise(parts)]
+        while ranks and (best := max(ranks)) != NO_RANK:
             i = ranks.index(best)
-            del bounds[i + 1], ranks[i]
+            merged = parts[i] = parts[i] + parts.pop(i + 1)
+            del ranks[i]
             if i:
-                ranks[i - 1] = rank(word[bounds[i - 1] : bounds[i + 1]], NO_RANK)
+                ranks[i - 1] = rank(parts[i - 1] + merged, NO_RANK)
             if i < len(ranks):
-                ranks[i] = rank(word[bounds[i] : bounds[i + 2]], NO_RANK)
-        ids: list[int] = []
-        for s, e in pairwise(bounds):
-            found = usable.get(word[s:e])
-            ids += [found[0]] if found else self._without_piece(word[s:e])
-        return ids
+                ranks[i] = rank(merged + parts[i + 1], NO_RANK)
+        try:
+            return [usable[part][0] for part in parts]
+        except KeyError:
+            return [x for part in parts for x in ((usable[part][0],) if part in usable else self._without_piece(part))]
 
     def _merge_long(self, word: str) -> list[int]:
         usable, n = self.usable, len(word)
@@ -180,7 +177,7 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY, longest: int = LONGE
     """
     marked = F.concat(F.lit(SPACE), F.replace(whole_text(), F.lit(" "), F.lit(SPACE)))
     words = docs.select(F.explode(F.regexp_extract_all(marked, F.lit(WORDS.pattern), F.lit(0))).alias("word")).filter(F.length("word") <= longest)
-    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "words")
+    counted = hold(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"))
     bin_ = F.floor(F.log2("n") * 32).cast("int")
     bins = sorted(((r.b, r.m) for r in counted.groupBy(bin_.alias("b")).agg(F.count("*").alias("m")).collect()), reverse=True)
     total, least = 0, math.inf
@@ -253,9 +250,9 @@ def fold(rows: DataFrame, model: Model) -> DataFrame:
 
 def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
     """Packed ids of the frequent words, keyed without their first mark: at most ``most`` words of at most ``LONGEST`` characters reach the driver."""
-    words = cut(frequent_words(docs, most), "frequent")
-    rows = cut(fold(lattice(words, piece_table(docs.sparkSession, model), model.longest), model), "encoded")
-    return {r.word[1:]: array("i", r.ids).tobytes() for r in rows.toLocalIterator()}
+    words = frequent_words(docs, most).coalesce(FOLDERS)
+    rows = fold(lattice(words, piece_table(docs.sparkSession, model), model.longest), model)
+    return {r.word[1:]: array("i", r.ids).tobytes() for r in rows.collect()}
 
 
 def encode(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", most: int = DICTIONARY) -> DataFrame:
