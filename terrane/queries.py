@@ -220,8 +220,7 @@ def knn_topk(spark, d):
 
 
 def _findings(spark, d):
-    rows = table(spark, d, "events").filter("floor(value) % 3 = 0")
-    return rows.select("user_id", F.col("event_type").alias("rule_id"), F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "before").otherwise("after").alias("side"))
+    return table(spark, d, "events").select("user_id", F.col("event_type").alias("rule_id"), F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "before").otherwise("after").alias("side"))
 
 
 @query
