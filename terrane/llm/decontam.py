@@ -21,6 +21,8 @@ from .common import alnum_words, cut, hold, let, whole_text
 WIDTH = 10
 #: Lists that are intersected before the words themselves are compared.
 ANCHORS = 3
+#: Lists that fit the bits of a long.
+MOST_ANCHORS = 63
 #: Rows up to which a side is broadcast (at most 24 bytes each); larger sides are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -56,27 +58,28 @@ def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id") ->
 def _anchored(index: DataFrame, windows: DataFrame, anchors: int) -> tuple[DataFrame, DataFrame]:
     """Distinct windows whose every term occurs, and their rarest terms (window, need, off, term)."""
     frequency = index.groupBy("term").agg(F.count("*").alias("n"))
+    anchors = min(anchors, MOST_ANCHORS)
     distinct = windows.select("window", "words").dropDuplicates(["window"])
     spread = distinct.select("window", F.size("words").alias("len"), F.posexplode("words").alias("off", "word"))
     spread = spread.select("window", "len", "off", F.xxhash64("word").alias("term")).join(frequency, "term")
     by_window = Window.partitionBy("window")
     ranked = spread.withColumns({"seen": F.count("*").over(by_window), "rank": F.row_number().over(by_window.orderBy("n", "off"))})
     rare = ranked.filter((F.col("seen") == F.col("len")) & (F.col("rank") <= anchors))
-    return distinct, hold(rare.select("window", F.least(F.col("len"), F.lit(anchors)).alias("need"), "off", "term"))
+    return distinct, hold(rare.select("window", F.least(F.col("len"), F.lit(anchors)).alias("need"), F.expr("shiftleft(1L, rank - 1)").alias("list"), "off", "term"))
 
 
 def _starts(index: DataFrame, rare: DataFrame) -> DataFrame:
     """Postings of the rare terms, moved back to where their window would start."""
     rows = index.join(_small(rare), "term")
-    return rows.select("doc_id", "row", "window", "need", "off", (F.col("pos") - F.col("off")).alias("start"))
+    return rows.select("doc_id", "row", "window", "need", "list", "off", (F.col("pos") - F.col("off")).alias("start"))
 
 
 def phrase_hits(docs: DataFrame, index: DataFrame, windows: DataFrame, anchors: int = ANCHORS, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, row, start, len, window): every exact occurrence of a window, as one array per document."""
     distinct, rare = _anchored(index, windows, anchors)
     starts = _starts(index, rare).filter(F.col("start") >= 0)
-    # A posting meets a window at one offset once, so a plain count intersects the lists; most of it is done before the shuffle.
-    both = starts.groupBy("doc_id", "row", "window", "start", "need").agg(F.count("*").alias("n")).filter("n = need")
+    # One bit for each list intersects them however often a repeated document row brings a posting; most of it is done before the shuffle.
+    both = starts.groupBy("doc_id", "row", "window", "start", "need").agg(F.bit_count(F.bit_or("list")).alias("n")).filter("n = need")
     phrases = distinct.select("window", F.array_join("words", " ").alias("phrase"), F.size("words").alias("len"))
     wanted = both.join(_small(phrases), "window")
     wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "len", "window", "phrase")).alias("wanted"))
