@@ -4,8 +4,9 @@ Pages of a host are merged by the style path of their elements (tag and class na
 an importance from two entropies over the host's pages: of its presentations (the kinds of its child elements) and of its contents (all text
 in its branches).
 A node whose contents and presentation repeat from page to page is noise; branches below the threshold are
-removed from each page. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
-comments, ...) go whatever their entropy, and an element declared as the article is kept whole otherwise.
+removed from each page, inside a declared article as well. Pages of a host that say the same count once, so copies of a page don't make
+it noise. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
+comments, ...) go whatever their entropy; all else is kept, in an <article> or not.
 
 What is gathered per host is one row per style node and distinct content, summed before any shuffle. Removed paths travel
 to the pages as one short list of hashes per host, broadcast only if the list is proven small, else by a join that can split hot hosts.
@@ -81,17 +82,17 @@ def _words(attributes: str) -> list[str]:
 
 
 class _Walk:
-    """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article)."""
+    """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article, within which a header is content)."""
 
     def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False):
         self.stack: list[tuple[str, str, bool, bool]] = []
-        self.blocks: list[tuple[str, bool]] = []  # text, is in article
+        self.blocks: list[str] = []
+        self.whole = xxhash.xxh64()  # of all text of the page
         self.nodes: dict[str, xxhash.xxh64] = {}  # style path -> digest of all text in its branches
         self.tree = tree
         self.children: dict[str, list[str]] = {}  # style path -> child tags
         self.low = low
         self.buffer: list[str] = []
-        self.flag = (False, False)
         for kind, value, attributes in _events(page):
             if kind == "text":
                 self.text(value)
@@ -102,19 +103,19 @@ class _Walk:
         self.flush()
 
     def text(self, value: str) -> None:
-        _, _, noise, article = self.stack[-1] if self.stack else ("", "", False, False)
+        noise = bool(self.stack) and self.stack[-1][2]
         if self.tree and (said := " ".join(value.split())):
+            self.whole.update(f"{said}\n")
             for _, open_path, _, _ in self.stack:
                 self.nodes.setdefault(open_path, xxhash.xxh64()).update(f"{said}\n")
         if not noise:
             self.buffer.append(value)
-            self.flag = (True, article)
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join(entities.unescape("".join(self.buffer)).split())
             if text:
-                self.blocks.append((text, self.flag[1]))
+                self.blocks.append(text)
             self.buffer = []
 
     def open(self, tag: str, attributes: str) -> None:
@@ -133,7 +134,7 @@ class _Walk:
         path = f"{path}/{tag}" + "".join(f".{w}" for w in words if not w.isdigit())
         article = article or tag in ("article", "main") or "main" in words
         declared = tag in NOISE_TAGS or bool(NOISE_WORDS.intersection(words)) or (not article and (tag == "header" or bool(OUTER_WORDS.intersection(words))))
-        repeated = bool(self.low) and not article and xxhash.xxh64_intdigest(path) in self.low
+        repeated = bool(self.low) and xxhash.xxh64_intdigest(path) in self.low
         self.stack.append((tag, path, noise or declared or repeated, article))
 
     def imply(self, tag: str) -> None:
@@ -159,10 +160,8 @@ class _Walk:
 
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    """Blocks of the declared article if there is one, else of all that isn't noise."""
-    blocks = _Walk(page, low).blocks
-    inner = [text for text, article in blocks if article]
-    return "\n".join(inner or [text for text, _ in blocks])
+    """All blocks that neither markup nor their importance (``low``: hashes of unimportant style paths) make noise."""
+    return "\n".join(_Walk(page, low).blocks)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +172,15 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in walk.nodes.keys() | walk.children.keys():
                 if path:
                     content, shape = walk.nodes.get(path), walk.children.get(path, [])
-                    rows.append((host, path, content.intdigest() if content else 0, xxhash.xxh64_intdigest(" ".join(dict.fromkeys(shape)))))
-        signed = [[x - (1 << 64) if x >= 1 << 63 else x for x in col] for col in ([r[2] for r in rows], [r[3] for r in rows], [xxhash.xxh64_intdigest(r[1]) for r in rows])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(signed[2], pa.int64()), pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64())], ["host", "node", "content", "shape"])
+                    rows.append((host, path, content.intdigest() if content else 0, xxhash.xxh64_intdigest(" ".join(dict.fromkeys(shape))), walk.whole.intdigest()))
+        signed = [[x - (1 << 64) if x >= 1 << 63 else x for x in col] for col in ([xxhash.xxh64_intdigest(r[1]) for r in rows], *([r[i] for r in rows] for i in (2, 3, 4)))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array(col, pa.int64()) for col in signed)], ["host", "node", "content", "shape", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of every style node."""
-    rows = pages.select(_host(), "html").mapInArrow(_nodes, "host string, node long, content long, shape long")
-    counted = cut(rows.groupBy("host", "node", "content", "shape").agg(F.count("*").alias("n")), "nodes")
+    """(host, node, pages, importance) of every style node, over the host's pages of different text."""
+    rows = pages.select(_host(), "html").mapInArrow(_nodes, "host string, node long, content long, shape long, page long")
+    counted = cut(rows.groupBy("host", "node", "content", "shape").agg(F.count_distinct("page").alias("n")), "nodes")
 
     def entropy(feature: str) -> DataFrame:
         """Entropy of a feature over a node's pages, to the base of their number: 1 if all differ, 0 if all agree."""
