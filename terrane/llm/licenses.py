@@ -11,6 +11,9 @@ rows; a null ``doc_id`` is an id like any other; extra columns are ignored; a ta
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,40 @@ Unless required by applicable law or agreed to in writing, software distributed
     *[(i, f"SPDX-License-Identifier: {i}") for i in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "0BSD", "BSL-1.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "Unlicense")],
 ]
 
+#: Title lines that files put above a known text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License"],
+    "Unlicense": ["The Unlicense", "Unlicense", "This is the Unlicense"],
+}
+#: Whole license texts, one file each, named by SPDX id.
+TEXTS = Path(__file__).with_name("license_texts")
+#: What follows the terms of a whole license and is often left out.
+APPENDIX = re.compile(r"\n[ \t]*(?:END OF TERMS AND CONDITIONS|Exhibit A - )")
+#: Lists by number and lists by bullet.
+NUMBER = re.compile(r"(?m)^[0-9]\. ")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN`` and the whole texts of ``TEXTS``, with and without titles, list numbers, appendices and marks of their end."""
+    found = list(KNOWN)
+    for name, text in KNOWN:
+        if name in TITLES and len(text) > 200:
+            bodies = [text, NUMBER.sub("", text)] if NUMBER.search(text) else [text]
+            found += [(name, body) for body in bodies] + [(name, f"{title}\n{body}") for body in bodies for title in TITLES[name]]
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        bodies = [text]
+        if end := APPENDIX.search(text):
+            bodies += [text[: end.start()]] + ([text[: text.index("\n", end.start() + 1)]] if "END OF" in end[0] else [])
+        found += [(name, body) for body in bodies] + [(name, f"{title}\n{body}") for body in bodies for title in TITLES.get(name, [])]
+    return found
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; the empty string if nothing is left."""
@@ -92,7 +129,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license) of the known texts (license, text); one row per digest."""
-    known = known if known is not None else spark.createDataFrame(KNOWN, "license string, text string")
+    known = known if known is not None else spark.createDataFrame(known_texts(), "license string, text string")
     if not known.filter(~F.col("text").rlike(MARKS)).isEmpty():
         raise ValueError("a known text holds none of the marks")
     return known.filter(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
