@@ -6,7 +6,8 @@ in its branches).
 A node whose contents and presentation repeat from page to page is noise; branches below the threshold are
 removed from each page, inside a declared article as well. Pages of a host that say the same count once, so copies of a page don't make
 it noise. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
-comments, ...) go whatever their entropy; all else is kept, in an <article> or not.
+comments, ...) go whatever their entropy; all else is kept, in an <article> or not. A class, id or role declares only by a whole token
+(``cookie-notice`` does, ``has-sidebar`` doesn't), and never html, body, article, main or an element that holds a main or all articles of the page.
 
 What is gathered per host is one row per style node and distinct content, summed before any shuffle. Removed paths travel
 to the pages as one short list of hashes per host, broadcast only if the list is proven small, else by a join that can split hot hosts.
@@ -34,14 +35,17 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>
 CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 #: Fixed word lists: elements whose text is no text, void elements, elements that begin and end blocks, elements that close an open paragraph or item.
-RAW = frozenset("script style noscript template textarea title iframe svg canvas object select button math".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas select annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 ITEMS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Elements and class words that declare what isn't the article.
 NOISE_TAGS = frozenset("head nav footer aside form dialog menu".split()) | RAW
 NOISE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner sponsor sponsored promo sidebar comments comment cookie cookies consent notice newsletter subscribe share sharing social related popup modal disqus respond".split())
+OUTER_TAGS = frozenset("header button".split())
 OUTER_WORDS = frozenset("nav navbar navigation menu menubar footer header breadcrumb breadcrumbs masthead topbar toolbar banner contentinfo complementary".split())
+#: Elements that no class word condemns.
+FRAME = frozenset("html body article main".split())
 #: Share of the contents in a node's importance; threshold; pages of a host below which nothing is judged.
 CONTENT_SHARE, THRESHOLD, LEAST_PAGES = 0.9, 0.15, 8
 #: Rows (a host and its few removed paths) up to which the removal lists are broadcast.
@@ -77,14 +81,20 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "open", tag, m[3] or ""
 
 
-def _words(attributes: str) -> list[str]:
-    return [w for found in CLASS.findall(attributes) for w in WORD.findall("".join(found).lower())] if "=" in attributes else []
+def _tokens(attributes: str) -> list[list[str]]:
+    """The words of each token of class, id and role."""
+    return [words for found in CLASS.findall(attributes) for token in "".join(found).lower().split() if (words := WORD.findall(token))] if "=" in attributes else []
+
+
+def _declares(tokens: list[list[str]], names: frozenset[str]) -> bool:
+    """A token consists of such words, numbers aside."""
+    return any(names.issuperset(said) for words in tokens if (said := [w for w in words if not w.isdigit()]))
 
 
 class _Walk:
     """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article, within which a header is content)."""
 
-    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False):
+    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False, cleared: frozenset[int] = frozenset()):
         self.stack: list[tuple[str, str, bool, bool]] = []
         self.blocks: list[str] = []
         self.whole = xxhash.xxh64()  # of all text of the page
@@ -92,6 +102,11 @@ class _Walk:
         self.tree = tree
         self.children: dict[str, list[str]] = {}  # style path -> child tags
         self.low = low
+        self.cleared = cleared  # numbers of elements that class words don't condemn
+        self.number = self.articles = 0  # elements and articles so far
+        self.held: dict[int, int] = {}  # element that a class word condemns -> articles within
+        self.mains: set[int] = set()  # such elements that hold a main
+        self.marked: list[tuple[int, int]] = []  # depth in the stack and number of such elements that are open
         self.buffer: list[str] = []
         for kind, value, attributes in _events(page):
             if kind == "text":
@@ -128,12 +143,25 @@ class _Walk:
         if tag in VOID or attributes.endswith("/"):
             return
         _, path, noise, article = self.stack[-1] if self.stack else ("", "", False, False)
-        words = _words(attributes)
+        tokens = _tokens(attributes)
         if self.tree:
             self.children.setdefault(path, []).append(tag)
-        path = f"{path}/{tag}" + "".join(f".{w}" for w in words if not w.isdigit())
-        article = article or tag in ("article", "main") or "main" in words
-        declared = tag in NOISE_TAGS or bool(NOISE_WORDS.intersection(words)) or (not article and (tag == "header" or bool(OUTER_WORDS.intersection(words))))
+        path = f"{path}/{tag}" + "".join(f".{w}" for words in tokens for w in words if not w.isdigit())
+        self.number += 1
+        while self.marked and self.marked[-1][0] >= len(self.stack):
+            self.marked.pop()
+        main = tag == "main" or ["main"] in tokens
+        if main or tag == "article":
+            article = True
+            self.articles += tag == "article"
+            for _, number in self.marked:
+                self.held[number] += tag == "article"
+                self.mains.update([number] if main else [])
+        declared = tag in NOISE_TAGS or (not article and tag in OUTER_TAGS)
+        if tag not in FRAME and not declared and (_declares(tokens, NOISE_WORDS) or (not article and _declares(tokens, OUTER_WORDS))):
+            declared = self.number not in self.cleared
+            self.held[self.number] = 0
+            self.marked.append((len(self.stack), self.number))
         repeated = bool(self.low) and xxhash.xxh64_intdigest(path) in self.low
         self.stack.append((tag, path, noise or declared or repeated, article))
 
@@ -161,7 +189,9 @@ class _Walk:
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """All blocks that neither markup nor their importance (``low``: hashes of unimportant style paths) make noise."""
-    return "\n".join(_Walk(page, low).blocks)
+    walk = _Walk(page, low)
+    frames = frozenset(x for x, n in walk.held.items() if x in walk.mains or (n and n == walk.articles))
+    return "\n".join((_Walk(page, low, cleared=frames) if frames else walk).blocks)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
