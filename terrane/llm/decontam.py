@@ -94,18 +94,27 @@ def phrase_hits(docs: DataFrame, index: DataFrame, windows: DataFrame, anchors:
     return exact.filter(F.size("hits") > 0).select("doc_id", "row", hits.alias("hits"))
 
 
-def near_matches(index: DataFrame, windows: DataFrame, slack: int = 4, anchors: int = ANCHORS) -> DataFrame:
-    """Proximity: (doc_id, item_id) where a window's rarest terms all occur, each at most ``slack`` words from its place.
+def _near(index: DataFrame, terms: DataFrame, slack: int) -> DataFrame:
+    """(doc_id, row, window) where all the terms of a window start within one bin.
 
     Starts are dealt to overlapping bins of twice the slack, so no two starts that close are missed.
     """
-    _, rare = _anchored(index, windows, anchors)
-    starts = _starts(index, rare)
     bins = F.floor(F.col("start") / slack)
-    binned = starts.select("doc_id", "row", "window", "need", "off", F.explode(F.array(bins, bins + 1)).alias("bin"))
+    binned = _starts(index, terms).select("doc_id", "row", "window", "need", "off", F.explode(F.array(bins, bins + 1)).alias("bin"))
     close = binned.groupBy("doc_id", "row", "window", "need", "bin").agg(F.count_distinct("off").alias("n")).filter("n = need")
-    items = windows.select("window", "item_id")
-    return close.select("doc_id", "row", "window").distinct().join(items, "window").select("doc_id", "item_id").distinct()
+    return close.select("doc_id", "row", "window").distinct()
+
+
+def near_matches(index: DataFrame, windows: DataFrame, slack: int = 4, anchors: int = ANCHORS) -> DataFrame:
+    """Proximity: (doc_id, item_id) where a window's words all occur, each at most ``slack`` words from its place.
+
+    The rarest terms find windows and documents; then all words (``MOST_ANCHORS`` at most) are looked up there.
+    """
+    _, rare = _anchored(index, windows, anchors)
+    found = hold(_near(index, rare, slack).select("row", "window"))
+    _, every = _anchored(index, windows.join(found, "window", "left_semi"), MOST_ANCHORS)
+    close = _near(index.join(found, "row", "left_semi"), every, slack)
+    return close.join(windows.select("window", "item_id"), "window").select("doc_id", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, anchors: int = ANCHORS, id_col: str = "doc_id") -> DataFrame:
