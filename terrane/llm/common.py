@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,15 +44,23 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), NOT_WORD), "")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (name + "_" * i for i in range(len(taken) + 1)) if x.lower() not in taken) for name in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local one only where that is unset and all runs in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = own.get() if own.isDefined() else "/tmp/terrane-checkpoints"
     return at.rstrip("/")
 
@@ -68,9 +77,39 @@ def cut(df: DataFrame, name: str = "step", gather: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """Keeps a small result that several steps read in the executors' storage, spilling to disk; lost parts are computed anew from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``hold(df)`` keeps what several steps read in the executors' storage, spilling to disk; lost parts are computed anew from its lineage.
+
+    All is freed at the end, so what leaves the block must have been cut.
+    """
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    try:
+        yield hold
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+#: Bytes up to which a side of a join is broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 24 << 20
+
+
+def small(df: DataFrame, size: Column | int, bytes_: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts ``df`` if it is proven to take at most ``bytes_``; else the join shuffles.
+
+    ``size`` is what a row takes: a number if all take the same, else an expression that is summed. ``df`` is read for the proof, so cut it before.
+    """
+    if isinstance(size, int):
+        most = bytes_ // size
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    total = df.agg(F.coalesce(F.sum(size.cast("long") + 16), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= bytes_ else df
 
 
 def sweep(spark: SparkSession) -> None:

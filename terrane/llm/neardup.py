@@ -13,8 +13,8 @@ holds is left out. Every candidate is verified on the exact multisets.
 Equal texts are one node from the start, so copies are never paired.
 
 Defined cases: words are lower-cased runs of letters and digits; a text of fewer than five words is one shingle;
-texts without words (null, empty) are one class; rows sharing an id share a class; a null id takes a hash of its text for an id;
-extra columns are ignored; an empty table gives an empty result.
+texts without words (null, empty) are one class; rows that share an id are classed each by its own text; a row with a null id takes
+a hash of its text for an id, and is never dropped; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, hold, whole_text
+from .common import alnum_words, cut, holding, small, unused, whole_text
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 is missed with a probability of (1 - 0.8^4)^24, about 3e-6.
 BANDS, BAND_ROWS = 24, 4
 SLOTS = BANDS * BAND_ROWS
-#: Rows of at most 16 bytes up to which a side is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 400_000
 #: Words that one step of numpy handles at once, and documents that one Arrow batch holds.
 CHUNK_WORDS, BATCH_DOCS = 400_000, 256
 
@@ -171,30 +169,25 @@ def _key(words: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.array_join(words, " "))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts ``df`` if it is proven to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node on a link (a, b): root is the least node of the connected component.
 
     Alternating large and small stars; each step is two group-bys with map-side minima and two joins that
     may split hot keys. Links never leave the executors; every step is cut into the shared folder.
     """
-    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
-    edges = cut(edges, "links", gather=True)
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while True:
+        # Done once every node has one parent at most, and parents have none.
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+        if open_.isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = cut(small, "links", gather=True)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if before == (now.n, now.s):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = (now.n, now.s)
+        parents = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = cut(large.join(down, "u").select(F.explode(parents).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "links")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -227,7 +220,7 @@ def prefix_candidates(nodes: DataFrame, sets: DataFrame, similarity: float) -> D
     common = each.join(known, "e")
     place = F.col("size") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "e"))
     ordered = common.withColumn("pos", place).filter(F.col("pos") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)
-    ordered = hold(ordered.select("e", "node", "root", "asking", "size", "pos"))
+    ordered = cut(ordered.select("e", "node", "root", "asking", "size", "pos"), "prefixes")
     class_of = lambda size: F.floor(F.log(size) / step).cast("int")
     # The largest partner size for which this element lies in the prefix, then the classes from the smallest partner up to it.
     most = F.least((F.col("size") - F.col("pos") + 1) / share - F.col("size"), F.col("size") / similarity) + 1e-6
@@ -239,57 +232,110 @@ def prefix_candidates(nodes: DataFrame, sets: DataFrame, similarity: float) -> D
     return asked.join(told, ["e", "class"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, representative) of every document row; class_id is the least doc_id of its class."""
+def _keys(words: Column) -> list[Column]:
+    return [_key(words, 1).alias("k1"), _key(words, 2).alias("k2")]
+
+
+def _classes(docs: DataFrame, similarity: float, id_col: str) -> DataFrame:
+    """(id, k1, k2, class_id, first) of every row, a table of its own; ``first`` marks the row that stands for its class."""
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("long").alias("id"), alnum_words(whole_text()).alias("w"))
-    hashed = words.select("id", _key(F.col("w"), 1).alias("k1"), _key(F.col("w"), 2).alias("k2"), _hashed(F.col("w")).alias("words"))
-    with _batches(spark):
-        signed = hold(hashed.mapInArrow(_sign, "id long, k1 long, k2 long, n long, bands array<long>"))
-        signed.count()
-    nodes = signed.groupBy("k1", "k2", "n", "bands").agg(F.coalesce(F.min("id"), F.first("k1")).alias("node"))
-    nodes = hold(nodes)
-    entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = hold(entries.join(sizes, "bucket"))
-    # The member whose buckets are fullest lies in the middle of its group; it is the first to be compared.
-    scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
-    shared = cut(shared.join(scores, "node").select("bucket", "node", "n", "members", "score"), "scored")
-    best = shared.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
-    stars = cut(_stars(shared, best, similarity), "stars", gather=True)
-
-    wanted = _small(shared.select("node").distinct())
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), _key(alnum_words(whole_text()), 1))).alias("node"), "text")
-    texts = named.join(wanted, "node", "left_semi").select("node", _hashed(alnum_words(whole_text())).alias("words"))
-    with _batches(spark):
-        sets = hold(texts.mapInArrow(_multisets, "node long, shingles array<long>"))
-        sets.count()
-    links = cut(_verified(stars, sets, similarity), "links", gather=True)
-    roots = components(links)
-
-    # Buckets whose members are in several classes now: all members outside the largest class ask for partners in other classes.
-    placed = shared.filter("members > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    per_class = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    largest = per_class.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
-    split = placed.join(largest, "bucket").groupBy("node", "root").agg(F.max(F.col("root") != F.col("largest")).alias("asking"))
-    across = cut(prefix_candidates(split, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across", gather=True)
-    if not across.isEmpty():
-        more = cut(_verified(across, sets, similarity), "links", gather=True)
-        if not more.isEmpty():
-            roots = components(links.union(more))
-
-    classes = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
-    rows = signed.select("id", "k1", "k2").join(classes, ["k1", "k2"])
-    return rows.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("representative"))
+    hashed = words.select("id", *_keys(F.col("w")), _hashed(F.col("w")).alias("words"))
+    with holding() as hold:
+        with _batches(spark):
+            signed = hold(hashed.mapInArrow(_sign, "id long, k1 long, k2 long, n long, bands array<long>"))
+            # An id with several texts can't stand for one of them, nor can none; there a hash of the text does.
+            texts = F.struct("k1", "k2")
+            per_id = signed.groupBy("id").agg((F.min(texts) != F.max(texts)).alias("differ"), F.count("*").alias("n")).filter("n > 1 or id is null")
+            odd = cut(per_id.select(F.col("id").alias("odd_id"), (F.col("differ") | F.col("id").isNull()).alias("differ")), "odd")
+        repeats, by_hash = not odd.isEmpty(), not odd.filter("differ").isEmpty()
+        several = small(odd.filter("differ and odd_id is not null").select("odd_id"), 16) if by_hash else None
+        nodes = signed.groupBy("k1", "k2", "n", "bands").agg(F.min("id").alias("least"))
+        if by_hash:
+            nodes = nodes.join(several, F.col("least") == F.col("odd_id"), "left").withColumn("least", F.when(F.col("odd_id").isNull(), F.col("least")))
+        nodes = hold(nodes.select("k1", "k2", "n", "bands", F.coalesce("least", "k1").alias("node")))
+        entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+        sizes = cut(entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "sizes")
+        shared = cut(entries.join(sizes, "bucket"), "shared")
+        # The member whose buckets are fullest lies in the middle of its group; it is the first to be compared.
+        scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
+        best = cut(shared.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub")), "hubs")
+        stars = cut(_stars(shared, best, similarity), "stars")
+
+        wanted = small(cut(shared.select(F.col("node").alias("wanted_node")).distinct(), "wanted"), 16)
+        with _batches(spark):
+            sets = hold(_sets(docs, wanted, several, repeats, id_col))
+            sets.count()
+        links = cut(_verified(stars, sets, similarity), "links")
+        roots = components(links)
+
+        # Buckets whose members are in several classes now: all members outside the largest class ask for partners in other classes.
+        placed = shared.filter("members > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        per_class = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+        largest = per_class.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
+        split = cut(placed.join(cut(largest, "largest"), "bucket").groupBy("node", "root").agg(F.max(F.col("root") != F.col("largest")).alias("asking")), "asking")
+        if not split.isEmpty():
+            across = cut(prefix_candidates(split, sets, similarity).join(stars, ["a", "b"], "left_anti"), "across")
+            more = cut(_verified(across, sets, similarity), "links")
+            if not more.isEmpty():
+                roots = _joined_up(roots, more)
+        classes = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
+        rows = signed.select("id", "k1", "k2")
+        if not by_hash:
+            return cut(rows.join(classes, ["k1", "k2"]).select("id", "k1", "k2", "class_id", (F.col("id") == F.col("class_id")).alias("first")), "classes")
+        # Some roots are hashes, so the least row of each class is looked up; its id names the class unless other texts have it too.
+        rows = cut(rows.join(classes, ["k1", "k2"]), "rows")
+        firsts = rows.filter("id is not null").groupBy("class_id").agg(F.min(F.struct("id", "k1", "k2")).alias("least"))
+        firsts = firsts.join(several, F.col("least.id") == F.col("odd_id"), "left").select(F.col("class_id").alias("root"), "least", F.when(F.col("odd_id").isNull(), F.col("least.id")).alias("named"))
+        rows = rows.join(firsts, F.col("class_id") == F.col("root"), "left")
+        return cut(rows.select("id", "k1", "k2", F.coalesce("named", "class_id").alias("class_id"), F.coalesce(F.struct("id", "k1", "k2") == F.col("least"), F.lit(False)).alias("first")), "classes")
+
+
+def _joined_up(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The roots of ``components`` after more links (a, b), which are followed between roots only."""
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = components(between).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return moved.union(above.select("root", "above").join(roots.select(F.col("node").alias("root")), "root", "left_anti"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, several: DataFrame | None, repeats: bool, id_col: str) -> DataFrame:
+    """(node, shingles): the multiset of each wanted node, read from the row with its least id.
+
+    Rows without an id and those whose id has several texts (``several``) are known by the hash of their text.
+    """
+    words = alnum_words(whole_text())
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), "text")
+    if several is not None:
+        rows = rows.join(several, F.col("node") == F.col("odd_id"), "left")
+        by_hash = F.col("node").isNull() | F.col("odd_id").isNotNull()
+        rows = rows.select(F.when(by_hash, _key(words, 1)).otherwise(F.col("node")).alias("node"), "text")
+    found = rows.join(wanted, F.col("node") == F.col("wanted_node"), "left_semi")
+    sets = found.select("node", _hashed(words).alias("words")).mapInArrow(_multisets, "node long, shingles array<long>")
+    return sets.groupBy("node").agg(F.max("shingles").alias("shingles")) if repeats else sets
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, representative) of every document row; class_id is the least doc_id of its class, a hash if other classes share that id."""
+    return _classes(docs, similarity, id_col).select(F.col("id").alias(id_col), "class_id", F.col("first").alias("representative"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """The documents without all but the least id of each class; columns stay as they are."""
-    found = cut(near_duplicates(docs, similarity, id_col), "classes")
-    gone = found.filter(~F.coalesce("representative", F.lit(False)) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    kept = docs.join(_small(gone), id_col, "left_anti")
-    again = found.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
+    """The documents without all but the first of each class by id, then by text; columns stay as they are. Rows without an id stay."""
+    found = _classes(docs, similarity, id_col).filter("id is not null")
+    gone_, again_, start_, k1_, k2_, place_ = unused(docs, "_gone", "_again", "_start", "_k1", "_k2", "_place")
+    id_, key = F.col(id_col).cast("long"), _keys(alnum_words(whole_text()))
+    per_id = cut(found.groupBy("id").agg(F.max("first").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "dropped")
+    kept = docs.join(small(per_id.filter("not kept").select(F.col("id").alias(gone_)), 16), id_ == F.col(gone_), "left_anti")
+    again = per_id.filter("kept").select(F.col("id").alias(again_))
     if again.isEmpty():
         return kept
-    again = _small(hold(again))
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    # Ids of several rows: of each class that starts here one row stays, the least by its text.
+    again = small(again, 16)
+    starts = found.filter("first").select(F.col("id").alias(start_), F.col("k1").alias(k1_), F.col("k2").alias(k2_)).distinct()
+    rows = kept.join(again, id_ == F.col(again_), "left_semi")
+    rows = rows.join(starts, (id_ == F.col(start_)) & (key[0] == F.col(k1_)) & (key[1] == F.col(k2_)), "left_semi")
+    place = F.row_number().over(Window.partitionBy(id_col, *key).orderBy(F.col("text").asc_nulls_last()))
+    rows = rows.withColumn(place_, place).filter(F.col(place_) == 1).drop(place_)
+    return kept.join(again, id_ == F.col(again_), "left_anti").unionByName(rows)

@@ -1,24 +1,26 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words (a run of the space mark with what follows it) are independent, for no piece holds a space mark after another
-character; ``Model`` checks that. The most frequent words of the corpus, at most ``DICTIONARY`` of at most ``LONGEST`` characters, are
-encoded relationally: their substrings up to the longest piece are exploded, joined to the piece table, grouped back into a lattice
-per word and folded with Spark's higher-order ``aggregate``. For a unigram model the fold is Viterbi; a BPE model's own
-result is not the best path (its scores are merge ranks), so there the fold merges along the lattice by rank. Words outside the
-bounded dictionary go through the same lattice and fold, in place, where their document lies; no document is shuffled.
+A text falls into units that no piece crosses: space marks with the run of letters, the digit or the run of other
+characters after them; ``Model`` checks every piece for that. The most frequent units of the corpus, at most ``DICTIONARY`` of
+at most ``LONGEST`` characters, are encoded relationally: their substrings up to the longest piece are exploded, joined to the
+piece table, grouped back into a lattice per unit and folded with Spark's higher-order ``aggregate``. For a unigram model the fold
+is Viterbi; a BPE model's own result is not the best path (its scores are merge ranks), so there the fold merges along the lattice
+by rank. Units outside the bounded dictionary go through the same fold where their document lies, all those of a batch at
+once as one matrix; no document is shuffled.
 
 Defined cases: a null or empty text has no ids; characters without a piece become byte pieces (or the unknown id); U+2581 in a text
-reads as a space, as in the library; repeated rows get equal rows; extra columns are ignored; very long words are folded
-with a heap (BPE) or in one pass (unigram).
+reads as a space, as in the library; repeated rows get equal rows; extra columns are ignored; an empty table gives an empty result;
+very long units are folded with a heap (BPE) or in one pass (unigram).
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -27,16 +29,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, let, whole_text
+from .common import holding, let, whole_text
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words of the broadcast dictionary, their greatest length, words that a worker remembers besides.
+WORDS = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+#: Units by the classes of their characters: letters, one digit, one line feed, other characters; for Python and for Java.
+_UNITS = f"{SPACE}*(?:{{letter}}+|{{digit}}|\\n|{{other}}+)|{SPACE}+"
+UNITS = _UNITS.format(letter=r"[^\W\d_²³¹]", digit=r"\d", other=rf"(?:[^\w{SPACE}\n]|[_²³¹])")
+JAVA_UNITS = _UNITS.format(letter=r"[\p{L}\p{N}&&[^\p{Nd}²³¹]]", digit=r"\p{Nd}", other=rf"(?:[^\p{{L}}\p{{N}}{SPACE}\n]|[²³¹])")
+#: Units of the broadcast dictionary, their greatest length, words that a worker remembers besides.
 DICTIONARY, LONGEST, REMEMBERED = 1 << 17, 32, 1 << 17
+#: Units of one matrix, and the length beyond which a heap folds.
+MATRIX_ROWS, MATRIX_LENGTH = 8192, 64
 #: Tasks that share the dictionary's lattice, whose size is bounded.
 FOLDERS = 64
-UNKNOWN_PENALTY, NO_RANK = 10.0, -math.inf
+UNKNOWN_PENALTY, NO_RANK, LAST = 10.0, -math.inf, np.iinfo(np.int32).max
+#: Documents whose words are put together at once.
 BATCH_DOCS = 500
 
 
@@ -54,6 +63,12 @@ class Model:
     least: float
     text: list[bytes] = field(default_factory=list)
     ranks: dict[str, float] = field(default_factory=dict)
+    units: str = WORDS
+    none: int = 0
+    pairs: np.ndarray | None = None
+    merged: np.ndarray | None = None
+    order: np.ndarray | None = None
+    chars: np.ndarray | None = None
 
     @classmethod
     def load(cls, path: str = MODEL_PATH, kind: str | None = None) -> Model:
@@ -72,7 +87,24 @@ class Model:
         unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         text = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         kind = kind or {1: "unigram", 2: "bpe"}[proto.trainer_spec.model_type]
-        return cls([p.piece for p in proto.pieces], [p.score for p in proto.pieces], kind, usable, bytes_at, unknown, max(map(len, usable)), min(s for _, s in usable.values()), text, {p: s for p, (_, s) in usable.items()})
+        model = cls([p.piece for p in proto.pieces], [p.score for p in proto.pieces], kind, usable, bytes_at, unknown, max(map(len, usable)), min(s for _, s in usable.values()), text, {p: s for p, (_, s) in usable.items()})
+        if all(re.fullmatch(UNITS, p) for p in usable if len(p) > 1):
+            model.units = UNITS
+        if kind == "bpe" and all(c in usable for p in usable for c in p):
+            model._pair_up()
+        return model
+
+    def _pair_up(self) -> None:
+        """The pairs of pieces whose union is a piece: sorted keys, the unions' ids, their places in the order of merging. And the id of each character."""
+        self.none = len(self.pieces)
+        ids = {p: i for p, (i, _) in self.usable.items()}
+        found = sorted((ids[p[:k]] * (self.none + 1) + ids[p[k:]], i, -score) for p, (i, score) in self.usable.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
+        self.pairs = np.array([x[0] for x in found] + [np.iinfo(np.int64).max], np.int64)
+        self.merged = np.array([x[1] for x in found] + [self.none], np.int32)
+        self.order = np.append(np.unique([x[2] for x in found], return_inverse=True)[1], LAST).astype(np.int32)
+        single = {ord(p): i for p, i in ids.items() if len(p) == 1}
+        self.chars = np.full(max(single) + 2, self.none, np.int32)
+        self.chars[list(single)] = list(single.values())
 
     def _without_piece(self, char: str) -> list[int]:
         return [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.unknown]
@@ -81,9 +113,72 @@ class Model:
         """Ids of one word."""
         return self._merge(word) if self.kind == "bpe" else self._viterbi(word)
 
+    def fold_all(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of many words: those of bounded length as matrices of similar lengths, the others one by one."""
+        words = sorted(words, key=len)
+        short = bisect.bisect_right(words, MATRIX_LENGTH, key=len) if self.chars is not None else 0
+        out: dict[str, bytes] = {}
+        for at in range(0, short, MATRIX_ROWS):
+            out |= self._merge_matrix(words[at : min(at + MATRIX_ROWS, short)])
+        for w in words[short:]:
+            out[w] = array("i", self.fold(w)).tobytes()
+        return out
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the order of merging (none: ``LAST``) and id of the union of each pair of ids."""
+        key = left.astype(np.int64) * (self.none + 1) + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.order[at], LAST), self.merged[at]
+
+    def _merge_matrix(self, words: list[str]) -> dict[str, bytes]:
+        """A row for each word, a column for each part; in every round each word merges its best pair, leftmost first.
+
+        Parts stay in the column of their first character; ``after`` and ``before`` lead from part to part, and the last column ends each row.
+        """
+        none, sizes = self.none, np.array([len(w) for w in words])
+        n, width = len(words), int(sizes[-1]) + 1
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = self.chars[np.minimum(codes, len(self.chars) - 1)]
+        whole = np.full((n, width), none, np.int32)
+        whole[np.arange(width) < sizes[:, None]] = first
+        parts, rows = whole, np.arange(n)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+        order, union = np.full((n, width), LAST, np.int32), np.zeros((n, width), np.int32)
+        order[:, :-1], union[:, :-1] = self._ranked(parts[:, :-1], parts[:, 1:])
+        while True:
+            best = order.argmin(axis=1)
+            row = np.flatnonzero(order[np.arange(len(best)), best] < LAST)
+            if 2 * len(row) < len(rows):  # words that are done leave
+                whole[rows] = parts
+                rows, parts, after, before, order, union, best = (x[row] for x in (rows, parts, after, before, order, union, best))
+                row = np.arange(len(rows))
+            if not len(row):
+                break
+            at = best[row]
+            gone = after[row, at]
+            new = parts[row, at] = union[row, at]
+            right = after[row, at] = after[row, gone]
+            parts[row, gone], order[row, gone] = none, LAST
+            right = np.minimum(right, width - 1)
+            before[row, right] = at
+            order[row, at], union[row, at] = self._ranked(new, parts[row, right])
+            left = before[row, at]
+            inner = left >= 0
+            row, left = row[inner], left[inner]
+            order[row, left], union[row, left] = self._ranked(parts[row, left], new[inner])
+        kept = whole < none
+        ends = (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+        packed = whole[kept].tobytes()
+        out = {w: packed[e0:e1] for w, e0, e1 in zip(words, [0, *ends], ends, strict=False)}
+        if (first == none).any():
+            for r in np.flatnonzero(np.add.reduceat(first == none, np.cumsum(sizes) - sizes)):
+                out[words[r]] = array("i", self.fold(words[r])).tobytes()
+        return out
+
     def _merge(self, word: str) -> list[int]:
         """Merges the neighbours whose union ranks best, leftmost first, until none is a piece."""
-        return self._merge_short(word) if len(word) <= 2 * LONGEST else self._merge_long(word)
+        return self._merge_short(word) if len(word) <= MATRIX_LENGTH else self._merge_long(word)
 
     def _merge_short(self, word: str) -> list[int]:
         rank, usable, parts = self.ranks.get, self.usable, list(word)
@@ -161,7 +256,7 @@ def bare_words(text: str) -> list[str]:
     if not text:
         return []
     if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-        return [w[1:] for w in WORDS.findall(mark(text))]
+        return [w[1:] for w in re.findall(WORDS, mark(text))]
     return text.split(" ")
 
 
@@ -170,14 +265,15 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.usable.items()], "piece string, id int, score double")
 
 
-def frequent_words(docs: DataFrame, most: int = DICTIONARY, longest: int = LONGEST) -> DataFrame:
-    """(word): the most frequent words of the corpus, at most ``most`` of them.
+def frequent_units(docs: DataFrame, hold: Callable[[DataFrame], DataFrame], units: str = JAVA_UNITS, most: int = DICTIONARY, longest: int = LONGEST) -> DataFrame:
+    """(word): the most frequent units of the corpus, at most ``most`` of them.
 
-    Counts are summed before the shuffle; a histogram over logarithmic bins of the counts (at most 2,000 rows) gives the threshold.
+    Words are counted first, then the units within the distinct words; counts are summed before each shuffle. A histogram over logarithmic
+    bins of the counts (at most 2,000 rows) gives the threshold.
     """
-    marked = F.concat(F.lit(SPACE), F.replace(whole_text(), F.lit(" "), F.lit(SPACE)))
-    words = docs.select(F.explode(F.regexp_extract_all(marked, F.lit(WORDS.pattern), F.lit(0))).alias("word")).filter(F.length("word") <= longest)
-    counted = hold(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"))
+    words = docs.select(F.explode(F.split(whole_text(), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = words.select(F.explode(F.regexp_extract_all(F.concat(F.lit(SPACE), "word"), F.lit(units), F.lit(0))).alias("word"), "n")
+    counted = hold(each.filter(F.length("word") <= longest).groupBy("word").agg(F.sum("n").alias("n")))
     bin_ = F.floor(F.log2("n") * 32).cast("int")
     bins = sorted(((r.b, r.m) for r in counted.groupBy(bin_.alias("b")).agg(F.count("*").alias("m")).collect()), reverse=True)
     total, least = 0, math.inf
@@ -249,10 +345,32 @@ def fold(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
-    """Packed ids of the frequent words, keyed without their first mark: at most ``most`` words of at most ``LONGEST`` characters reach the driver."""
-    words = frequent_words(docs, most).coalesce(FOLDERS)
-    rows = fold(lattice(words, piece_table(docs.sparkSession, model), model.longest), model)
-    return {r.word[1:]: array("i", r.ids).tobytes() for r in rows.collect()}
+    """Packed ids of the frequent units: at most ``most`` of at most ``LONGEST`` characters reach the driver."""
+    with holding() as hold:
+        units = frequent_units(docs, hold, JAVA_UNITS if model.units == UNITS else WORDS, most).coalesce(FOLDERS)
+        rows = fold(lattice(units, piece_table(docs.sparkSession, model), model.longest), model)
+        return {r.word: array("i", r.ids).tobytes() for r in rows.collect()}
+
+
+class _Encoder:
+    """Encodes texts with the dictionary's units; other units are folded a batch at a time."""
+
+    def __init__(self, model: Model, known: dict[str, bytes]):
+        self.model, self.units, self.split = model, known, re.compile(model.units).findall
+        # Words that are one unit each stand without their first mark, as ``bare_words`` gives them.
+        self.words = {u[1:]: ids for u, ids in known.items() if u[:1] == SPACE and len(u) > 1}
+        self.more: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words, units = [bare_words(t) for t in texts], self.units
+        if len(self.more) >= REMEMBERED:
+            self.more = {}
+        missing = {w: self.split(SPACE + w) for w in set().union(*words) if w not in self.words and w not in self.more}
+        fresh = self.model.fold_all(list({u for found in missing.values() for u in found if u not in units}))
+        for w, found in missing.items():
+            self.more[w] = b"".join([units.get(u) or fresh[u] for u in found])
+        known, more = self.words, self.more
+        return [b"".join([known.get(w) or more[w] for w in each]) for each in words]
 
 
 def encode(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", most: int = DICTIONARY) -> DataFrame:
@@ -261,27 +379,13 @@ def encode(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast((model, dictionary(docs, model, most)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
-        more: dict[str, bytes] = {}
-
-        def fold(word: str) -> bytes:
-            found = more.get(word)
-            if found is None:
-                found = array("i", model.fold(SPACE + word)).tobytes()
-                if len(word) < LONGEST:
-                    if len(more) >= REMEMBERED:
-                        more.clear()
-                    more[word] = found
-            return found
-
+        encoder = _Encoder(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
-                out, same = [], []
-                for text in part.column(1).to_pylist():
-                    packed = b"".join([known.get(w) or fold(w) for w in bare_words(text or "")])
-                    out.append(packed)
-                    same.append(model.decode(memoryview(packed).cast("i").tolist()) == (text or ""))
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                out = encoder.encode(texts)
+                same = [encoder.model.decode(memoryview(x).cast("i").tolist()) == t for x, t in zip(out, texts, strict=True)]
                 sizes = np.array([len(x) // 4 for x in out])
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), ids, pa.array(same)], ["id", "n_ids", "ids", "round_trip"])
