@@ -244,28 +244,37 @@ def first_match(text: Column, lowered: Column, patterns: list[str]) -> Column:
 
 
 def annotations(text: Column, lowered: Column, rules: list[tuple[str, list[str]]] = RULES, taxonomy: list = TAXONOMY) -> Column:
-    """array<struct<type, cwe, checkov_id, severity, category, description>> of all smells of a text, in rule order."""
-    facts = {name: (cwe, severity, category, ids[0] if ids else None) for name, cwe, severity, category, ids in taxonomy}
-    firsts = dict.fromkeys(name for name, _ in rules)
-    parts: list[Column] = []
-    for name in firsts:
-        lists = [patterns for n, patterns in rules if n == name]
-        cwe, severity, category, check = facts.get(name, (None, None, None, None))
-        first = first_match(text, lowered, lists[0])
-        parts.append(_smell(name, first, cwe, check, severity, category))
-    order = list(firsts)
-    later: list[Column] = []
-    seen: set[str] = set()
+    """array<struct<type, cwe, checkov_id, severity, category, description, match>> of all smells of a text, in rule order.
+
+    Every list is evaluated once; a type's second list only where its first one missed.
+    """
+    facts = {name: (cwe, ids[0] if ids else None, severity, category) for name, cwe, severity, category, ids in taxonomy}
+    first: dict[str, list[str]] = {}
+    second: list[tuple[str, list[str]]] = []
     for name, patterns in rules:
-        if name in seen:
-            cwe, severity, category, check = facts.get(name, (None, None, None, None))
-            missed = first_match(text, lowered, next(p for n, p in rules if n == name)).isNull()
-            later.append(_smell(name, F.when(missed, first_match(text, lowered, patterns)), cwe, check, severity, category))
-        seen.add(name)
-    assert len(order) == len(parts)
-    return F.filter(F.array(*parts, *later), lambda x: x["match"].isNotNull())
+        if name in first:
+            second.append((name, patterns))
+        else:
+            first[name] = patterns
+    place = {name: i for i, name in enumerate(first)}
+    names = [*first, *[name for name, _ in second]]
+    told = lambda i: F.array(*[F.lit(facts.get(name, (None,) * 4)[i]).cast("string") for name in names])
+
+    def both(found: Column) -> Column:
+        later = [F.when(found[place[name]].isNull(), first_match(text, lowered, patterns)) for name, patterns in second]
+        return F.concat(found, F.array(*later)) if later else found
+
+    def described(match: Column, i: Column) -> Column:
+        at = lambda k: F.get(told(k), i)
+        return F.struct(F.get(F.array(*[F.lit(n) for n in names]), i).alias("type"), at(0).alias("cwe"), at(1).alias("checkov_id"), at(2).alias("severity"), at(3).alias("category"), F.concat(F.lit("Pattern match: "), F.left(match, F.lit(80))).alias("description"), match.alias("match"))
+
+    found = F.array(*[first_match(text, lowered, patterns) for patterns in first.values()])
+    every = F.transform(F.array(found), both)[0]
+    return F.filter(F.transform(every, lambda m, i: F.when(m.isNotNull(), described(m, i))), lambda x: x.isNotNull())
 
 
-def _smell(name: str, match: Column, cwe: str | None, check: str | None, severity: str | None, category: str | None) -> Column:
-    s = lambda v: F.lit(v).cast("string")
-    return F.struct(s(name).alias("type"), s(cwe).alias("cwe"), s(check).alias("checkov_id"), s(severity).alias("severity"), s(category).alias("category"), F.concat(F.lit("Pattern match: "), F.left(match, F.lit(80))).alias("description"), match.alias("match"))
+def smells(text: Column, lowered: Column | None = None) -> Column:
+    """array<struct<type, cwe, checkov_id, severity, category, description, line_number>>; the rules tell no line."""
+    found = annotations(text, F.lower(text) if lowered is None else lowered)
+    fields = ("type", "cwe", "checkov_id", "severity", "category", "description")
+    return F.transform(found, lambda s: F.struct(*[s[f].alias(f) for f in fields], F.lit(None).cast("int").alias("line_number")))

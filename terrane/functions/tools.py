@@ -87,3 +87,8 @@ def platform(path: Column, content: Column) -> Column:
 
 def is_config_path(path: Column) -> Column:
     return F.lower(base_name(path)).isin("dockerfile", "vagrantfile") | suffix(path).isin(*CONFIG_SUFFIXES)
+
+
+def is_config_file(path: Column, content: Column) -> Column:
+    """Whether the kind of a file is known."""
+    return detect_tool(path, content) != "unknown"

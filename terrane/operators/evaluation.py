@@ -19,16 +19,23 @@ def prf(rows: DataFrame) -> DataFrame:
     return rows.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
+def told(truth: DataFrame) -> DataFrame:
+    """The truths that a scanner can find: those without HEURISTIC for a check."""
+    return truth.filter(F.coalesce("check", F.lit("")) != "HEURISTIC")
+
+
 def match(detections: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     """(det_id, gt_id): each detection with its first truth of the same file and check, within the tolerance or without a line.
 
     Both sides are reduced to one row per (file, check, line) before they meet, and meet on buckets of lines, so a hot file
-    costs its distinct lines times the tolerance and never all pairs. HEURISTIC detections never match.
+    costs its distinct lines times the tolerance and never all pairs. HEURISTIC detections and truths never match; a missing check equals a missing one.
     """
     keys, width = ["file", "check"], tolerance + 1
+    check = F.coalesce("check", F.lit(""))
+    detections, truth = detections.withColumn("check", check), told(truth).withColumn("check", check)
     lines = truth.groupBy(*keys, "line").agg(F.min("gt_id").alias("gt"))
     whole = lines.groupBy(*keys).agg(F.min("gt").alias("any_gt"), F.min(F.when(F.col("line").isNull(), F.col("gt"))).alias("open_gt"))
-    asked = detections.filter("check <> 'HEURISTIC'").select(*keys, "line").distinct()
+    asked = detections.filter("upper(check) <> 'HEURISTIC'").select(*keys, "line").distinct()
     bucket = F.floor(F.col("line") / width)
     near = asked.filter("line is not null").select(*keys, F.col("line").alias("dl"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     near = near.join(lines.filter("line is not null").select(*keys, F.col("line").alias("gl"), "gt", bucket.alias("bucket")), [*keys, "bucket"])
@@ -42,7 +49,7 @@ def match(detections: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
 
 def detection_counts(detections: DataFrame, truth: DataFrame, tolerance: int, by: str | None = None) -> DataFrame:
     """TP (distinct matched truths), FP (detections that match nothing), FN; overall or by a column of both sides."""
-    matched = match(detections, truth, tolerance)
+    matched, truth = match(detections, truth, tolerance), told(truth)
     key = F.lit("all") if by is None else F.col(by)
     hit = truth.join(matched.select("gt_id").distinct().withColumn("_hit", F.lit(1)), "gt_id", "left")
     t = hit.groupBy(key.alias("group")).agg(F.sum(F.coalesce("_hit", F.lit(0))).alias("tp"), F.sum(1 - F.coalesce("_hit", F.lit(0))).alias("fn"), F.lit(0).cast("long").alias("fp"))
@@ -155,3 +162,8 @@ def holm(p_values: dict[str, float]) -> dict[str, float]:
         most = max(most, min(1.0, (len(p_values) - i) * p))
         out[name] = most
     return out
+
+
+def run_statistics(runs: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean and both standard deviations of a measure over repeated runs."""
+    return runs.groupBy(by).agg(F.count("*").alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd_sample"), F.stddev_pop(value).alias("sd_population"))

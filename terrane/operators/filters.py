@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MESSAGE_KEYWORDS, SIGNAL_KEYWORDS, contains_any
+from ..functions.text import MESSAGE_KEYWORDS, SIGNAL_KEYWORDS, base_name, contains_any
 from ..functions.tools import is_config_path
 from .pairing import first_by
 
@@ -13,6 +13,7 @@ from .pairing import first_by
 MAX_FILE = 200_000
 GONE = ("removed", "deleted")
 BAD_WORDS = ("bad", "fail", "insecure", "wrong", "deny", "vuln")
+CODE_WORDS = ("terraform", "ansible", "kubernetes", "helm", "dockerfile", "cloudformation", "pulumi", "chef", "puppet", "vagrant")
 GOOD_WORDS = ("good", "pass", "secure", "allow", "compliant")
 
 
@@ -38,9 +39,10 @@ def message_signal(message: Column) -> Column:
 
 
 def example_side(path: Column, n_smells: Column) -> Column:
-    """positive or negative by a path part of that name, else by smells."""
-    parts = F.split(F.lower(path), "/")
-    return F.when(F.exists(parts, lambda p: p.contains("positive")), "positive").when(F.exists(parts, lambda p: p.contains("negative")), "negative").when(n_smells > 0, "positive").otherwise("negative")
+    """positive or negative by a folder or a name that starts so, else by smells."""
+    low = F.lower(path)
+    told = lambda word: low.contains(f"/{word}") | base_name(low).startswith(word)
+    return F.when(told("positive"), "positive").when(told("negative"), "negative").when(n_smells > 0, "positive").otherwise("negative")
 
 
 def good_or_bad(examples: DataFrame) -> DataFrame:
@@ -51,15 +53,15 @@ def good_or_bad(examples: DataFrame) -> DataFrame:
     return rows.filter(((F.col("n_smells") > 0) | bad) & (F.col("code_before") != ""))
 
 
-def tree_files(tree: DataFrame, max_files: int | None = None, prefix: str = "") -> DataFrame:
+def tree_files(tree: DataFrame, max_files: int | None = None, within: str = "") -> DataFrame:
     """Blobs of a repository tree with a known suffix, of bounded size, once per path."""
-    rows = tree.filter((F.col("type") == "blob") & is_config_path(F.col("path")) & (F.col("size") <= MAX_FILE) & F.col("path").startswith(prefix)).dropDuplicates(["path"])
+    rows = tree.filter((F.col("type") == "blob") & is_config_path(F.col("path")) & (F.coalesce("size", F.lit(0)) <= MAX_FILE) & F.col("path").contains(within)).dropDuplicates(["path"])
     return rows.limit(max_files) if max_files else rows
 
 
 def describes_code(description: Column) -> Column:
     """Whether a description speaks of configuration code: a column, never a filter."""
-    return F.lower(description).rlike("terraform|kubernetes|helm|docker|ansible|cloudformation|pulumi|bicep|k8s|container")
+    return contains_any(F.lower(description), CODE_WORDS)
 
 
 def ordered_unique(rows: DataFrame, key: str, order: str) -> DataFrame:

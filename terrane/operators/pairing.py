@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words of paths.
 PASS_WORDS = ("pass", "passed", "positive", "good", "compliant", "secure", "correct", "allowed")
 FAIL_WORDS = ("fail", "failed", "negative", "bad", "example_", "wrong", "insecure", "violated", "denied", "vulnerable")
 #: A side of at most this many rows is broadcast.

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PLACEHOLDER, STRONG_KEYWORDS, contains_any, content_hash, split_name, strip
+from ..functions.rules import smells
+from ..functions.text import PLACEHOLDER, STRONG_KEYWORDS, contains_any, content_hash, labels, split_name, strip
 
 TIERS = ("A", "B", "C", "D")
+SMELLS = "array<struct<type:string,cwe:string,checkov_id:string,severity:string,category:string,description:string,line_number:int>>"
 
 
 def _array(name: str) -> Column:
@@ -100,25 +102,54 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
+def typed_smells(types: Column) -> Column:
+    """array<smell> of bare types."""
+    none = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    return F.transform(types, lambda t: F.struct(t.alias("type"), none("cwe"), none("checkov_id"), none("severity"), none("category"), none("description"), none("line_number", "int")))
+
+
+SAME_SMELL = ["type", "cwe", "checkov_id", "line_number"]
+
+
 def normalise(records: DataFrame) -> DataFrame:
-    """The release contract: new files become detection records, qualities get defaults, hashes and tiers are made anew."""
+    """The release contract: new files become detection records and are classified anew, qualities get defaults, smells are kept once
+    each, hashes, tiers and labels are made anew. Smells come as ``smells`` or as bare ``smell_types``."""
     code, after, diff = (F.coalesce(c, F.lit("")) for c in ("code_before", "code_after", "diff"))
     quality = F.col("code_before_quality")
     new_file = (F.coalesce(quality, F.lit("")) == "new_file") | diff.contains("@@ -0,0")
     unavailable = code.contains(PLACEHOLDER) | (code == "")
+    known = F.col("smells") if "smells" in records.columns else typed_smells(F.col("smell_types"))
     rows = records.withColumns(
         {
             "_new": new_file,
+            "smells": known,
             "code_before_quality": F.when(new_file, "new_file").when(unavailable, F.coalesce(quality, F.lit("unavailable"))).otherwise(F.coalesce(quality, F.lit("api"))),
             "code_before": F.when(new_file, after).otherwise(F.col("code_before")),
             "code_after": F.when(~new_file, F.col("code_after")),
             "has_fix": F.when(new_file, False).otherwise(F.col("has_fix")),
             "source_version": F.coalesce(F.nullif("source_version", F.lit("")), F.lit("v2_normalized")) if "source_version" in records.columns else F.lit("v2_normalized"),
         }
-    ).drop("_new")
+    )
+    found = F.when(F.col("_new"), smells(F.col("code_before")))
+    merged = F.concat(F.coalesce("smells", F.array().cast(SMELLS)), F.coalesce(found, F.array().cast(SMELLS)))
+    rows = rows.withColumn("smells", merged).withColumn("smells", dedupe_array(F.col("smells"), SAME_SMELL)).drop("_new")
+    field = lambda name: F.transform("smells", lambda s: s[name])
+    rows = rows.withColumns({"smell_types": field("type"), "n_smells": F.size("smells"), "labels": labels(field("type"), field("severity"), field("cwe"), F.col("iac_tool"))})
     return rows.withColumn("content_hash", content_hash(F.coalesce(F.nullif(F.coalesce("code_before", F.lit("")), F.lit("")), F.col("code_after")))).withColumn("tier", tier())
 
 
 def dedupe_array(items: Column, same: list[str]) -> Column:
     """First occurrence of each item by the fields, in array order; nulls are equal."""
     return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: _all([y[k].eqNullSafe(x[k]) for k in same])))
+
+
+def positions(records: DataFrame, order: list[Column], folder: str) -> DataFrame:
+    """Adds ``position``, gapless from 0 in the order. Sorted runs are written once under ``folder`` with their run and place, then each run learns from
+    the sizes of those before it where it starts; no task sorts more than its run."""
+    runs = records.orderBy(*order).select("*", F.spark_partition_id().alias("_run"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    runs.write.parquet(folder)
+    runs = records.sparkSession.read.schema(runs.schema).parquet(folder)
+    sizes = runs.groupBy("_run").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("_run", F.coalesce(before, F.lit(0)).alias("_start")))  # a row for each run
+    return runs.join(starts, "_run").withColumn("position", F.col("_start") + F.col("_place")).drop("_run", "_place", "_start")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from .functions import rules
 from .functions.text import MESSAGE_KEYWORDS, PLACEHOLDER, SIGNAL_KEYWORDS, STRONG_KEYWORDS
 from .functions.tools import ANSIBLE, CLOUDFORMATION, DOCKER_START, KUBERNETES, SIGNATURES, TERRAFORM
+from .plans.corpus import FIX_PROMPT
 from .plans.searches import CWES, ISSUES, PREFIXES, SCANNERS, TOOLS, VERBS
 
 Q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -40,12 +43,40 @@ tiered AS (
                  WHEN (before_real AND rule_before) OR (added AND n_smells > 0) OR (before_real AND n_smells > 0) THEN 'C' ELSE 'D' END AS tier FROM facts)"""
 
 
-NORMALISED = f"""normal AS (
-  SELECT * EXCLUDE (code_before, code_after, has_fix, code_before_quality, content_hash),
+def _first(patterns: list[str]) -> str:
+    parts = []
+    for p in patterns:
+        if "(?!scratch)" in p:
+            tail = Q("(?im)FROM\\s+(\\S+)\\s*$")
+            hits = f"list_filter(list_zip(regexp_extract_all(text, {Q('(?im)' + p.replace('(?!scratch)', ''))}), regexp_extract_all(text, {tail}, 1)), lambda z: NOT starts_with(lower(z[2]), 'scratch'))"
+            parts.append(f"{hits}[1][1]")
+        elif "(?!.*--no" in p:
+            whole = Q("(?im)apt-get\\s+install\\s+.*")
+            parts.append(f"nullif(regexp_extract(list_filter(regexp_extract_all(text, {whole}), lambda z: NOT contains(lower(z), '--no-install-recommends'))[1], {Q('(?im)apt-get' + chr(92) + 's+install' + chr(92) + 's+')}), '')")
+        else:
+            parts.append(f"nullif(regexp_extract(text, {Q('(?im)' + p)}), '')")
+    return f"coalesce({', '.join(parts)}, NULL)"
+
+
+def classify(rel: str = "documents") -> str:
+    """Rows (doc_id, type, cwe, severity, checkov_id, description) of the smells in a relation's texts."""
+    rows, seen = [], {}
+    for i, (name, patterns) in enumerate(rules.RULES):
+        guard = f"{_first(seen[name])} IS NULL AND " if name in seen else ""
+        seen.setdefault(name, patterns)
+        cwe, severity, check = next((c, s, (ids or [None])[0]) for n, c, s, _, ids in rules.TAXONOMY if n == name)
+        rows.append(f"SELECT doc_id, {Q(name)} AS type, {Q(cwe)} AS cwe, {Q(severity)} AS severity, {Q(check) if check else 'NULL'} AS checkov_id, {_first(patterns)} AS m FROM {rel} WHERE {guard}{_first(patterns)} IS NOT NULL")
+    return "SELECT doc_id, type, cwe, severity, checkov_id, 'Pattern match: ' || left(m, 80) AS description FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+NORMALISED = f"""fresh AS (SELECT ord AS doc_id, coalesce(code_after, '') AS text FROM records WHERE coalesce(code_before_quality, '') = 'new_file' OR contains(coalesce(diff, ''), '@@ -0,0')),
+again AS (SELECT doc_id, count(*)::INTEGER AS n FROM ({classify('fresh')}) GROUP BY 1),
+normal AS (
+  SELECT * EXCLUDE (code_before, code_after, has_fix, code_before_quality, content_hash, n_smells, n, doc_id), n_smells + coalesce(n, 0) AS n_smells,
          CASE WHEN fresh THEN coalesce(code_after, '') ELSE code_before END AS code_before, CASE WHEN NOT fresh THEN code_after END AS code_after,
          NOT fresh AND has_fix AS has_fix,
          CASE WHEN fresh THEN 'new_file' WHEN contains(coalesce(code_before, ''), {Q(PLACEHOLDER)}) OR coalesce(code_before, '') = '' THEN coalesce(code_before_quality, 'unavailable') ELSE coalesce(code_before_quality, 'api') END AS code_before_quality
-  FROM (SELECT *, coalesce(code_before_quality, '') = 'new_file' OR contains(coalesce(diff, ''), '@@ -0,0') AS fresh FROM records)),
+  FROM (SELECT *, coalesce(code_before_quality, '') = 'new_file' OR contains(coalesce(diff, ''), '@@ -0,0') AS fresh FROM records LEFT JOIN again ON doc_id = ord)),
 hashed AS (SELECT *, sha256(coalesce(nullif(coalesce(code_before, ''), ''), code_after, '')) AS content_hash FROM normal)"""
 BEST = "best AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY has_fix DESC, n_smells DESC, ord) AS n FROM records) WHERE n = 1)"
 SPLIT = """split AS (
@@ -70,32 +101,7 @@ sums AS (SELECT "group", sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::
 SELECT *, {PRF} FROM sums"""
 
 
-def _first(patterns: list[str]) -> str:
-    parts = []
-    for p in patterns:
-        if "(?!scratch)" in p:
-            tail = Q("(?im)FROM\\s+(\\S+)\\s*$")
-            hits = f"list_filter(list_zip(regexp_extract_all(text, {Q('(?im)' + p.replace('(?!scratch)', ''))}), regexp_extract_all(text, {tail}, 1)), lambda z: NOT starts_with(lower(z[2]), 'scratch'))"
-            parts.append(f"{hits}[1][1]")
-        elif "(?!.*--no" in p:
-            whole = Q("(?im)apt-get\\s+install\\s+.*")
-            parts.append(f"nullif(regexp_extract(list_filter(regexp_extract_all(text, {whole}), lambda z: NOT contains(lower(z), '--no-install-recommends'))[1], {Q('(?im)apt-get' + chr(92) + 's+install' + chr(92) + 's+')}), '')")
-        else:
-            parts.append(f"nullif(regexp_extract(text, {Q('(?im)' + p)}), '')")
-    return f"coalesce({', '.join(parts)}, NULL)"
-
-
-def _classify() -> str:
-    rows, seen = [], {}
-    for i, (name, patterns) in enumerate(rules.RULES):
-        guard = f"{_first(seen[name])} IS NULL AND " if name in seen else ""
-        seen.setdefault(name, patterns)
-        cwe, severity, check = next((c, s, (ids or [None])[0]) for n, c, s, _, ids in rules.TAXONOMY if n == name)
-        rows.append(f"SELECT doc_id, {Q(name)} AS type, {Q(cwe)} AS cwe, {Q(severity)} AS severity, {Q(check) if check else 'NULL'} AS checkov_id, {_first(patterns)} AS m FROM documents WHERE {guard}{_first(patterns)} IS NOT NULL")
-    return "SELECT doc_id, type, cwe, severity, checkov_id, 'Pattern match: ' || left(m, 80) AS description FROM (" + " UNION ALL ".join(rows) + ")"
-
-
-def _tool_case(path: str, content: str) -> str:
+def tool_case(path: str, content: str) -> str:
     m = lambda p: f"regexp_matches({content}, {Q(p)})"
     return f"CASE WHEN {m(CLOUDFORMATION)} THEN 'cloudformation' WHEN {m(KUBERNETES)} THEN 'kubernetes' WHEN {m(ANSIBLE)} THEN 'ansible' WHEN {m(TERRAFORM)} THEN 'terraform' WHEN {m(DOCKER_START)} THEN 'docker' ELSE 'unknown' END"
 
@@ -119,10 +125,10 @@ ORACLES: dict[str, str] = {
     "manifest_counts": f"WITH {RECORDS}, {tier('records')}, named AS (SELECT tier, source, iac_tool, coalesce(code_before_quality, '<missing>') AS code_before_quality FROM tiered) SELECT CASE WHEN tier IS NOT NULL THEN 'tier' WHEN source IS NOT NULL THEN 'source' WHEN iac_tool IS NOT NULL THEN 'iac_tool' ELSE 'code_before_quality' END AS dimension, coalesce(tier, source, iac_tool, code_before_quality) AS key, count(*) AS n FROM named GROUP BY GROUPING SETS ((tier), (source), (iac_tool), (code_before_quality))",
     "labels_array": f"WITH {RECORDS} SELECT id, array_to_string(list_sort(list_distinct(list_concat(smell_types, CASE WHEN rule_before THEN ['R1'] ELSE [] END, [iac_tool]))), '|') AS labels FROM records",
     "smell_topk": f"WITH {RECORDS} SELECT smell, count(*) AS n FROM (SELECT unnest(smell_types) AS smell FROM records) GROUP BY 1 ORDER BY n DESC, smell LIMIT 25",
-    "classify_smells": _classify(),
+    "classify_smells": classify(),
     "heuristic_lines": "SELECT doc_id, line, type, cwe FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, " + _BODY + " AS ls FROM documents)) JOIN (VALUES " + ", ".join(f"({i}, {Q('(?i)' + p)}, {Q(t)}, {Q(c)})" for i, (p, t, c) in enumerate(rules.HEURISTICS)) + ") v(i, p, type, cwe) ON regexp_matches(l, p)",
     "text_metrics": f"SELECT doc_id, len(ls)::INTEGER AS line_count, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INTEGER AS token_count, len(list_filter(ls, lambda x: trim(x) = ''))::INTEGER AS blank_lines, len(list_filter(ls, lambda x: starts_with(trim(x), '#') OR starts_with(trim(x), '//') OR starts_with(trim(x), '/*')))::INTEGER AS comment_lines FROM (SELECT doc_id, text, {_BODY} AS ls FROM documents)",
-    "detect_tool": "SELECT page_id, " + _tool_case("url", "html") + " AS tool FROM pages",
+    "detect_tool": "SELECT page_id, " + tool_case("url", "html") + " AS tool FROM pages",
     "analyzer_tool": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, {Q(p)}) THEN {Q(t)}" for t, p in SIGNATURES) + " ELSE 'unknown' END AS tool FROM documents",
     "signal_filters": f"SELECT doc_id, {any_of('lower(text)', SIGNAL_KEYWORDS)} AS signal, {any_of('lower(text)', MESSAGE_KEYWORDS)} AS message, length(text) <= 200000 AS small FROM documents",
     "training_filter": f"WITH {RECORDS} SELECT id, iac_tool, array_to_string(list_sort(smell_types), '|') AS types FROM records WHERE has_fix AND trim(coalesce(code_before, '')) <> '' AND trim(coalesce(code_after, '')) <> '' AND length(code_before) + length(code_after) <= 8000 AND trim(code_before) <> trim(code_after)",
@@ -138,8 +144,8 @@ ORACLES: dict[str, str] = {
     "retrieval_scores": "WITH t(type, cwe, idx) AS (VALUES " + ", ".join(f"({Q(n)}, {Q(c)}, {i})" for i, (n, c, *_) in enumerate(rules.TAXONOMY)) + "), p AS (SELECT q.idx AS query_id, d.idx AS doc_idx, CASE WHEN d.cwe = q.cwe THEN 10 ELSE 0 END + CASE WHEN contains(replace(d.type, '_', ' '), replace(q.type, '_', ' ')) THEN 5 ELSE 0 END + len(list_filter(string_split(lower(q.type || ' ' || q.cwe), ' '), lambda w: contains(lower(d.type || ' ' || d.cwe), w))) AS score FROM t q, t d) SELECT query_id::BIGINT AS query_id, doc_idx::BIGINT AS doc_idx, score::INTEGER AS score FROM p WHERE score > 0",
     "retrieval_metrics": "WITH t(type, cwe, idx) AS (VALUES " + ", ".join(f"({Q(n)}, {Q(c)}, {i})" for i, (n, c, *_) in enumerate(rules.TAXONOMY)) + "), p AS (SELECT q.idx AS query_id, d.idx AS doc_idx, CASE WHEN d.cwe = q.cwe THEN 10 ELSE 0 END + CASE WHEN contains(replace(d.type, '_', ' '), replace(q.type, '_', ' ')) THEN 5 ELSE 0 END + len(list_filter(string_split(lower(q.type || ' ' || q.cwe), ' '), lambda w: contains(lower(d.type || ' ' || d.cwe), w))) AS score, d.cwe = q.cwe OR contains(d.type, q.type) AS relevant FROM t q, t d), r AS (SELECT query_id, min(CASE WHEN relevant THEN rank END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) AS rank FROM p) WHERE rank <= 5 GROUP BY 1) SELECT avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_rate_k3, avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_rate_k5, avg(coalesce(1.0 / first, 0.0))::DOUBLE AS mrr, count(*) AS total_queries FROM r",
     "knn_topk": "WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5",
-    "patch_verdict": f"WITH {SLOTS}, sides AS (SELECT user_id, event_type, max(side = 'before')::INTEGER AS b, max(side = 'after')::INTEGER AS a FROM (SELECT DISTINCT user_id, event_type, side, floor(value) AS v FROM slots WHERE floor(value) % 3 = 0) GROUP BY ALL), c AS (SELECT user_id, sum(b)::BIGINT AS targeted, sum(b * (1 - a))::BIGINT AS removed, sum(a * (1 - b))::BIGINT AS new FROM sides GROUP BY 1) SELECT *, removed > 0 AND new = 0 AS valid FROM c",
-    "remediation_metrics": f"WITH {SLOTS}, sides AS (SELECT user_id, event_type, max(side = 'before')::INTEGER AS b, max(side = 'after')::INTEGER AS a FROM slots WHERE floor(value) % 3 = 0 GROUP BY ALL), c AS (SELECT user_id, sum(b)::BIGINT AS targeted, sum(b * (1 - a))::BIGINT AS removed, sum(a * (1 - b))::BIGINT AS new FROM sides GROUP BY 1), f AS (SELECT *, removed > 0 AND new = 0 AS valid FROM c) SELECT count(*) AS n_files, avg(valid::INTEGER)::DOUBLE AS pvr, CASE WHEN sum(targeted) > 0 THEN sum(removed)::DOUBLE / sum(targeted) ELSE 0.0 END AS ser_micro, avg(CASE WHEN targeted > 0 THEN removed::DOUBLE / targeted END) AS ser_macro, 1 - sum((new > 0)::INTEGER)::DOUBLE / count(*) AS nnir FROM f",
+    "patch_verdict": f"WITH {SLOTS}, sides AS (SELECT user_id, event_type, max(side = 'before')::INTEGER AS b, max(side = 'after')::INTEGER AS a FROM slots GROUP BY ALL), c AS (SELECT user_id, sum(b)::BIGINT AS targeted, sum(b * (1 - a))::BIGINT AS removed, sum(a * (1 - b))::BIGINT AS new FROM sides GROUP BY 1) SELECT *, removed > 0 AND new = 0 AS valid FROM c",
+    "remediation_metrics": f"WITH {SLOTS}, sides AS (SELECT user_id, event_type, max(side = 'before')::INTEGER AS b, max(side = 'after')::INTEGER AS a FROM slots GROUP BY ALL), c AS (SELECT user_id, sum(b)::BIGINT AS targeted, sum(b * (1 - a))::BIGINT AS removed, sum(a * (1 - b))::BIGINT AS new FROM sides GROUP BY 1), f AS (SELECT *, removed > 0 AND new = 0 AS valid FROM c) SELECT count(*) AS n_files, avg(valid::INTEGER)::DOUBLE AS pvr, CASE WHEN sum(targeted) > 0 THEN sum(removed)::DOUBLE / sum(targeted) ELSE 0.0 END AS ser_micro, avg(CASE WHEN targeted > 0 THEN removed::DOUBLE / targeted END) AS ser_macro, 1 - sum((new > 0)::INTEGER)::DOUBLE / count(*) AS nnir FROM f",
     "self_consistency": r"WITH s AS (SELECT conv_id AS prompt_id, turn AS idx, coalesce(text, '') AS raw, array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#') AND NOT starts_with(trim(x), '//')), lambda x: regexp_replace(trim(x), '\s+', ' ', 'g')), chr(10)) AS form FROM conversations) SELECT prompt_id, form, count(*) / 5.0::DOUBLE AS confidence, arg_min(raw, (idx, raw)) AS raw FROM s WHERE form <> '' GROUP BY prompt_id, form HAVING count(*) / 5.0 >= 0.2",
     "diff_lines": r"WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE i % 3 WHEN 1 THEN '-' WHEN 2 THEN '+' ELSE ' ' END || x) AS ls FROM documents) SELECT doc_id, len(list_filter(ls, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')))::INTEGER AS added, len(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')))::INTEGER AS removed, md5(array_to_string(list_transform(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')), lambda x: x[2:]), chr(10))) AS before_md5 FROM l",
     "query_product": "SELECT DISTINCT v || ' ' || n_name || ' ' || r_name AS query FROM (VALUES ('fix'), ('patch'), ('resolve'), ('remediate'), ('harden'), ('secure'), ('correct')) v(v), nation, region",
@@ -149,7 +155,7 @@ ORACLES: dict[str, str] = {
     "stream_rate": "SELECT epoch_us(date_trunc('minute', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_stall": "WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 15 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 15 MINUTE) AS end_us, count(*) AS n FROM r GROUP BY user_id, k",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
-    "circuit_breaker": "WITH r AS (SELECT *, (event_type = 'error')::INTEGER AS f, sum(1 - (event_type = 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) SELECT event_id, sum(f) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures, sum(f) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING) = 3 AS opens FROM r",
+    "circuit_breaker": "WITH r AS (SELECT *, (event_type = 'error')::INTEGER AS f, sum(1 - (event_type = 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) SELECT event_id, sum(f) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures, f = 1 AND sum(f) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING) % 3 = 0 AS opens FROM r",
     "metric_lines": "WITH s AS (SELECT date_trunc('minute', ts) AS start, count(*) AS n FROM events GROUP BY 1) SELECT epoch_us(start) AS start_us, n, n::DOUBLE AS rate_per_min, sum(n) OVER (PARTITION BY start::DATE ORDER BY start ROWS UNBOUNDED PRECEDING)::BIGINT AS total_today FROM s",
     "json_props": "SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events",
     "fleiss_kappa": "WITH r AS (SELECT user_id AS item, event_type AS category, count(*) AS n FROM events GROUP BY ALL), i AS (SELECT item, sum(n) AS m, sum(n * n) AS s FROM r GROUP BY 1), p AS (SELECT avg((s - m)::DOUBLE / (m * (m - 1))) AS p, sum(m) AS t FROM i), c AS (SELECT sum(c * c) AS cc FROM (SELECT sum(n) AS c FROM r GROUP BY category)) SELECT round((p - cc / (t * t)) / (1 - cc / (t * t)), 9) AS kappa FROM p, c",
@@ -162,6 +168,13 @@ def _values(words: tuple[str, ...]) -> str:
     return "(VALUES " + ", ".join(f"({i}, {Q(w)})" for i, w in enumerate(words)) + ")"
 
 
+def _prompt() -> str:
+    """The prompt of a fix in SQL: no line, description or weakness is known, the context is empty."""
+    values = {"iac_tool": "iac_tool", "smells": "array_to_string(list_transform(smell_types, lambda t: '- Line ?: ' || t || ' []'), chr(10))", "rag_context": "''", "script_content": "code_before"}
+    parts = re.split(r"\{(\w+)\}", FIX_PROMPT)
+    return " || ".join(values[x] if i % 2 else " || chr(10) || ".join(Q(y) for y in x.split("\n")) for i, x in enumerate(parts))
+
+
 _RANKED = ORACLES["retrieval_metrics"].split(", r AS (")[0]
 _ATTEMPTS = "a AS (SELECT user_id AS file_id, min(CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN event_id % 3 + 1 END) AS first FROM events GROUP BY 1), s AS (SELECT avg((coalesce(first, 9) <= 1)::INTEGER)::DOUBLE AS s1, avg((coalesce(first, 9) <= 2)::INTEGER)::DOUBLE AS s2, avg((coalesce(first, 9) <= 3)::INTEGER)::DOUBLE AS s3 FROM a)"
 _WINDOWS = "w AS (SELECT greatest(DATE '2023-11-01', (d - INTERVAL 13 DAY)::DATE) AS start, d::DATE AS stop FROM generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2023-11-01', INTERVAL (-14) DAY) g(d))"
@@ -180,6 +193,6 @@ ORACLES |= {
     "version_pairs": "SELECT e.event_id AS commit_sha, p.props AS code_before, e.props AS code_after FROM events e LEFT JOIN events p ON p.event_id = e.event_id - 1 AND p.user_id = e.user_id AND p.event_type = e.event_type",
     "pairwise_agreement": "WITH r AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id, event_type), i AS (SELECT user_id, sum(n) AS m, sum(n * (n - 1)) AS s FROM r GROUP BY 1) SELECT round(avg(s::DOUBLE / (m * (m - 1))), 9) AS rpa FROM i WHERE m > 1",
     "group_keys": "SELECT array_to_string(string_split(url, '/')[1:4], '/') AS key, count(*) AS n FROM pages GROUP BY 1",
-    "prompts": f"WITH {RECORDS} SELECT id, md5('Fix the security smells in this ' || iac_tool || ' file.' || chr(10) || 'Smells:' || chr(10) || array_to_string(list_transform(smell_types, lambda t: '- ' || t), chr(10)) || chr(10) || 'Code:' || chr(10) || code_before) AS prompt_md5, md5('IaC tool: ' || iac_tool || '. Security issues: ' || array_to_string(smell_types, '; ') || '. How to fix?' || CASE input_rank WHEN 1 THEN ' Focus on minimal, targeted changes only.' WHEN 2 THEN ' Provide the most conservative and safe remediation possible.' ELSE '' END) AS query_md5 FROM records",
+    "prompts": f"WITH {RECORDS} SELECT id, md5({_prompt()}) AS prompt_md5, md5('IaC tool: ' || iac_tool || '. Security issues: ' || array_to_string(smell_types, '; ') || '. How to fix?' || CASE input_rank WHEN 1 THEN ' Focus on minimal, targeted changes only.' WHEN 2 THEN ' Provide the most conservative and safe remediation possible.' ELSE '' END) AS query_md5 FROM records",
     "primary_keys": f"WITH {RECORDS} SELECT id, md5('content' || chr(1) || content_hash) AS key_md5 FROM records",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +74,58 @@ def training_samples(records: DataFrame, **options) -> DataFrame:
     return records.filter(usable(**options)).select("id", "iac_tool", clean("smell_types").alias("smell_types"), clean("cwes").alias("cwes"), "code_before", "code_after", "split")
 
 
-def render_prompt(tool: Column, types: Column, code: Column) -> Column:
-    return F.concat(F.lit("Fix the security smells in this "), tool, F.lit(" file.\nSmells:\n"), F.array_join(F.transform(types, lambda t: F.concat(F.lit("- "), t)), "\n"), F.lit("\nCode:\n"), code)
+def training_stats(records: DataFrame, **options) -> DataFrame:
+    """(iac_tool, kept, kept_pct): usable records by tool, in per cent of all records; one pass."""
+    by_tool = records.groupBy("iac_tool").agg(F.count_if(usable(**options)).alias("kept"), F.count("*").alias("_n"))
+    total = F.broadcast(by_tool.agg(F.greatest(F.sum("_n"), F.lit(1)).alias("_all")))  # one row
+    return by_tool.filter("kept > 0").crossJoin(total).select("iac_tool", "kept", (F.lit(100.0) * F.col("kept") / F.col("_all")).alias("kept_pct"))
+
+
+#: Texts of instructions, prompts and retrieval queries.
+INSTRUCTION = """You are a security expert specializing in Infrastructure as Code (IaC).
+Fix the following {iac_tool} script. Detected smells: {smells}.
+Return ONLY the corrected script, no explanation."""
+FIX_PROMPT = """
+## IaC Tool
+{iac_tool}
+
+## Detected Security Smells
+{smells}
+
+## Relevant Security Knowledge
+{rag_context}
+
+## Original Script
+```
+{script_content}
+```
+
+Generate a unified diff patch that fixes ALL listed smells. Output the diff only.
+"""
+ASK, TAIL = ("IaC tool: ", ". Security issues: "), ". How to fix?"
+RETRIES = (" Focus on minimal, targeted changes only.", " Provide the most conservative and safe remediation possible.")
+
+
+def _fill(template: str, **values: Column) -> Column:
+    """The template with its named places filled; nothing inside a value is a place."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def chat_messages(tool: Column, types: Column, before: Column, after: Column) -> Column:
+    """array<struct<role, content>>: the instruction with the insecure text, and the answer."""
+    names = F.coalesce(F.nullif(F.array_join(types, ", "), F.lit("")), F.lit("security issues"))
+    ask = F.concat(_fill(INSTRUCTION, iac_tool=F.coalesce(tool, F.lit("IaC")), smells=names), F.lit("\n\n```\n"), before, F.lit("\n```"))
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("user", ask), turn("assistant", after))
+
+
+def render_prompt(tool: Column, smells: Column, context: Column, code: Column) -> Column:
+    """The prompt of a fix over array<struct<type, line, description, cwe>>."""
+    one = lambda s: F.concat(F.lit("- Line "), F.coalesce(s["line"].cast("string"), F.lit("?")), F.lit(": "), F.coalesce(s["description"], s["type"], F.lit("")), F.lit(" ["), F.coalesce(s["cwe"], F.lit("")), F.lit("]"))
+    return _fill(FIX_PROMPT, iac_tool=tool, smells=F.array_join(F.transform(smells, one), "\n"), rag_context=context, script_content=code)
 
 
 def retrieval_query(tool: Column, descriptions: Column, retry: Column) -> Column:
-    base = F.concat(F.lit("IaC tool: "), tool, F.lit(". Security issues: "), F.array_join(descriptions, "; "), F.lit(". How to fix?"))
-    return F.when(retry == 1, F.concat(base, F.lit(" Focus on minimal, targeted changes only."))).when(retry >= 2, F.concat(base, F.lit(" Provide the most conservative and safe remediation possible."))).otherwise(base)
+    base = F.concat(F.lit(ASK[0]), tool, F.lit(ASK[1]), F.array_join(descriptions, "; "), F.lit(TAIL))
+    return F.when(retry == 1, F.concat(base, F.lit(RETRIES[0]))).when(retry >= 2, F.concat(base, F.lit(RETRIES[1]))).otherwise(base)

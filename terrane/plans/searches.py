@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.records import positions
+
 #: The vocabulary of commit searches.
 VERBS = ("fix", "patch", "resolve", "remediate", "harden", "secure", "correct")
 TOOLS = ("terraform", "kubernetes", "helm", "dockerfile", "ansible", "pulumi", "cloudformation", "bicep")
@@ -56,8 +58,17 @@ def merge_progress(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("unit").agg(F.max("last_page").alias("last_page"), F.max("done").alias("done"))
 
 
-def halves(queries: DataFrame, order: str) -> DataFrame:
-    """First and second half of the queries, for two accounts. A vocabulary is some thousands of rows."""
-    from pyspark.sql import Window
+def product(*words: DataFrame) -> DataFrame:
+    """(query): the distinct combinations of vocabularies of one column each, space-joined. Vocabularies are some dozens of words."""
+    rows = words[0]
+    for other in words[1:]:
+        rows = rows.crossJoin(F.broadcast(other))
+    return rows.select(F.concat_ws(" ", *[w.columns[0] for w in words]).alias("query")).distinct()
+
 
-    return queries.withColumn("account", F.ntile(2).over(Window.orderBy(order)))
+def halves(rows: DataFrame, order: str, folder: str) -> DataFrame:
+    """Shares for two accounts: ``half`` (1, the longer, or 2) and ``odd`` (1, 0, ... in turn) by the order."""
+    placed = positions(rows, [F.col(order)], folder)
+    total = F.broadcast(placed.agg(F.count("*").alias("_n")))  # one row
+    half = F.when(2 * F.col("position") < F.col("_n"), 1).otherwise(2)
+    return placed.crossJoin(total).select(*rows.columns, half.alias("half"), ((F.col("position") + 1) % 2).cast("int").alias("odd"))

@@ -12,6 +12,7 @@ from .operators import evaluation, filters, pairing, summaries
 from .operators import records as rec
 from .plans import corpus, searches
 from .plans.testviews import records, table
+from .sources.scratch import shared_folder
 from .streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +95,7 @@ def labels_array(spark, d):
 
 @query
 def smell_topk(spark, d):
-    return records(spark, d).select(F.explode("smell_types").alias("smell")).groupBy("smell").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "smell").limit(25)
+    return summaries.top_counts(records(spark, d).select(F.explode("smell_types").alias("smell")), ["smell"], 25)
 
 
 @query
@@ -128,8 +129,8 @@ def analyzer_tool(spark, d):
 
 @query
 def signal_filters(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", text.contains_any(low, text.SIGNAL_KEYWORDS).alias("signal"), text.contains_any(low, text.MESSAGE_KEYWORDS).alias("message"), (F.length("text") <= 200_000).alias("small"))
+    text_ = F.col("text")
+    return table(spark, d, "documents").select("doc_id", filters.has_signal(F.lit(0), text_).alias("signal"), filters.message_signal(text_).alias("message"), filters.fits(text_).alias("small"))
 
 
 @query
@@ -140,8 +141,7 @@ def training_filter(spark, d):
 
 @query
 def training_stats(spark, d):
-    total = max(1, table(spark, d, "documents").count())
-    return records(spark, d).filter(corpus.usable()).groupBy("iac_tool").agg(F.count("*").alias("kept"), (F.lit(100.0) * F.count("*") / total).alias("kept_pct"))
+    return corpus.training_stats(records(spark, d))
 
 
 @query
@@ -250,15 +250,13 @@ def diff_lines(spark, d):
 
 @query
 def query_product(spark, d):
-    verbs = spark.createDataFrame([(v,) for v in ("fix", "patch", "resolve", "remediate", "harden", "secure", "correct")], "v string")
-    rows = verbs.crossJoin(table(spark, d, "nation").select("n_name")).crossJoin(table(spark, d, "region").select("r_name"))
-    return rows.select(F.concat_ws(" ", "v", "n_name", "r_name").alias("query")).distinct()
+    verbs = spark.createDataFrame([(v,) for v in searches.VERBS], "v string")
+    return searches.product(verbs, table(spark, d, "nation").select("n_name"), table(spark, d, "region").select("r_name"))
 
 
 @query
 def date_windows(spark, d):
-    days = spark.range(1).select(F.explode(F.expr("sequence(date'2024-01-30', date'2023-01-01', interval -14 days)")).alias("stop"))
-    return days.select(F.greatest(F.expr("date'2023-01-01'"), F.date_sub("stop", 13)).alias("start"), "stop")
+    return searches.date_windows(spark, "2023-01-01", "2024-01-30")
 
 
 @query
@@ -272,7 +270,7 @@ def union_inputs(spark, d):
 @query
 def event_candidates(spark, d):
     rows = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error"))
-    return rows.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"))
+    return summaries.first_and_count(rows, ["user_id", "event_type"], "event_id")
 
 
 def _events(spark, d):
@@ -323,8 +321,8 @@ def signed_rank(spark, d):
 
 @query
 def account_halves(spark, d):
-    n = F.row_number().over(Window.orderBy("s_suppkey"))
-    return table(spark, d, "supplier").select("s_suppkey", F.ntile(2).over(Window.orderBy("s_suppkey")).alias("half"), (n % 2).alias("odd"))
+    found = searches.halves(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", shared_folder(spark, "halves"))
+    return found.select("s_suppkey", "half", "odd")
 
 
 @query
@@ -420,7 +418,9 @@ def group_keys(spark, d):
 
 @query
 def prompts(spark, d):
-    text_ = corpus.render_prompt(F.col("iac_tool"), F.col("smell_types"), F.col("code_before"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    smells = F.transform("smell_types", lambda t: F.struct(t.alias("type"), none("line"), none("description"), none("cwe")))
+    text_ = corpus.render_prompt(F.col("iac_tool"), smells, F.lit(""), F.col("code_before"))
     ask = corpus.retrieval_query(F.col("iac_tool"), F.col("smell_types"), F.col("input_rank"))
     return records(spark, d).select("id", F.md5(text_).alias("prompt_md5"), F.md5(ask).alias("query_md5"))
 

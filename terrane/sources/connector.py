@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,17 +19,25 @@ class Page(InputPartition):
         self.path = path
 
 
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store that a folder lies in, by its scheme, and its path there."""
+    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+
+
 class RecordedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
 
     def partitions(self) -> list[Page]:
-        return [Page(str(p)) for p in sorted(Path(self.folder).glob("*.json"))] or [Page("")]
+        files, folder = _opened(self.folder)
+        found = files.get_file_info(fs.FileSelector(folder))
+        return [Page(x.path) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".json")] or [Page("")]
 
     def read(self, partition: Page) -> Iterator[tuple[str, int, str]]:
         if not partition.path:
             return
-        body = json.loads(Path(partition.path).read_text(encoding="utf-8", errors="replace"))
+        with _opened(self.folder)[0].open_input_stream(partition.path) as page:
+            body = json.loads(page.read().decode("utf-8", "replace"))
         for item in body.get("items", []):
             yield str(body.get("unit", "")), int(body.get("page", 0)), json.dumps(item, ensure_ascii=False)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pairing import first_by
+
 
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
@@ -15,10 +19,12 @@ def overwrite_json(rows: DataFrame, path: str) -> None:
 
 
 def write_release(records: DataFrame, path: str) -> None:
-    """Four outputs: everything, tier A, fix pairs of A and B, detection rows of A to C."""
-    subsets = {"full": F.lit(True), "gold": F.col("tier") == "A", "fix_pairs": F.col("tier").isin("A", "B") & F.col("has_fix"), "detection": F.col("tier").isin("A", "B", "C")}
+    """Four outputs: everything, tier A, fix pairs of A and B, detection rows of A to C. The plan runs once; the parts are read back from the whole."""
+    records.write.mode("overwrite").parquet(f"{path}/full")
+    whole = records.sparkSession.read.schema(records.schema).parquet(f"{path}/full")
+    subsets = {"gold": F.col("tier") == "A", "fix_pairs": F.col("tier").isin("A", "B") & F.col("has_fix"), "detection": F.col("tier").isin("A", "B", "C")}
     for name, kept in subsets.items():
-        records.filter(kept).write.mode("overwrite").parquet(f"{path}/{name}")
+        whole.filter(kept).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
@@ -32,5 +38,27 @@ def write_manifest(counts: DataFrame, path: str) -> None:
     counts.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_knowledge(docs: DataFrame, path: str) -> None:
-    docs.write.mode("append").parquet(path)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text at a path, whole or not at all: it is written beside and then renamed."""
+    jvm = spark._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    files.delete(target, False)
+    if not files.rename(beside, target):
+        raise OSError(f"can't rename to {path}")
+
+
+def upsert_knowledge(docs: DataFrame, path: str, version: int) -> DataFrame:
+    """Adds documents to a store, each id once: later versions replace earlier ones. Every call writes a version of its own; reading takes the newest of each id."""
+    docs.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return read_knowledge(docs.sparkSession, path)
+
+
+def read_knowledge(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
+    stored = spark.read.parquet(path)
+    return first_by(stored, [id_col], [F.desc("version")]).drop("version")
