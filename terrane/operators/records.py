@@ -113,12 +113,14 @@ SAME_SMELL = ["type", "cwe", "checkov_id", "line_number"]
 
 def normalise(records: DataFrame) -> DataFrame:
     """The release contract: new files become detection records and are classified anew, qualities get defaults, smells are kept once
-    each, hashes, tiers and labels are made anew. Smells come as ``smells`` or as bare ``smell_types``."""
+    each, hashes, tiers and labels are made anew. Smells come as ``smells``, as bare ``smell_types``, or as their number ``n_smells`` only."""
     code, after, diff = (F.coalesce(c, F.lit("")) for c in ("code_before", "code_after", "diff"))
     quality = F.col("code_before_quality")
     new_file = (F.coalesce(quality, F.lit("")) == "new_file") | diff.contains("@@ -0,0")
     unavailable = code.contains(PLACEHOLDER) | (code == "")
-    known = F.col("smells") if "smells" in records.columns else typed_smells(F.col("smell_types"))
+    columns = records.columns
+    known = F.col("smells") if "smells" in columns else typed_smells(F.col("smell_types")) if "smell_types" in columns else F.array().cast(SMELLS)
+    unnamed = F.lit(0) if {"smells", "smell_types"} & set(columns) else F.coalesce("n_smells", F.lit(0))
     rows = records.withColumns(
         {
             "_new": new_file,
@@ -134,7 +136,7 @@ def normalise(records: DataFrame) -> DataFrame:
     merged = F.concat(F.coalesce("smells", F.array().cast(SMELLS)), F.coalesce(found, F.array().cast(SMELLS)))
     rows = rows.withColumn("smells", merged).withColumn("smells", dedupe_array(F.col("smells"), SAME_SMELL)).drop("_new")
     field = lambda name: F.transform("smells", lambda s: s[name])
-    rows = rows.withColumns({"smell_types": field("type"), "n_smells": F.size("smells"), "labels": labels(field("type"), field("severity"), field("cwe"), F.col("iac_tool"))})
+    rows = rows.withColumns({"smell_types": field("type"), "n_smells": F.size("smells") + unnamed, "labels": labels(field("type"), field("severity"), field("cwe"), F.col("iac_tool"))})
     return rows.withColumn("content_hash", content_hash(F.coalesce(F.nullif(F.coalesce("code_before", F.lit("")), F.lit("")), F.col("code_after")))).withColumn("tier", tier())
 
 
