@@ -12,6 +12,9 @@ comments, ...) go whatever their entropy; all else is kept, in an <article> or n
 What is gathered per host is one row per style node and distinct content, summed before any shuffle. Removed paths travel
 to the pages as one short list of hashes per host, broadcast only if the list is proven small, else by a join that can split hot hosts.
 
+A node is judged once ``LEAST_PAGES`` pages of different text hold it: by one page nothing repeats, and two that agree may be two
+versions of one article. With few pages a node is low only if nearly all agree (of three, all), so no other bound is needed.
+
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; pages cut off in the middle keep what is
 readable (a cut-off tag is markup); repeated rows get equal rows; extra columns are ignored.
 Text is decoded, white space within a block becomes one space, blocks are joined by one line feed; <br> is white space.
@@ -47,7 +50,7 @@ OUTER_WORDS = frozenset("nav navbar navigation menu menubar footer header breadc
 #: Elements that no class word condemns.
 FRAME = frozenset("html body article main".split())
 #: Share of the contents in a node's importance; threshold; pages of a host below which nothing is judged.
-CONTENT_SHARE, THRESHOLD, LEAST_PAGES = 0.9, 0.15, 8
+CONTENT_SHARE, THRESHOLD, LEAST_PAGES = 0.9, 0.15, 3
 #: Rows (a host and its few removed paths) up to which the removal lists are broadcast.
 BROADCAST_ROWS = 50_000
 BATCH_PAGES = 500
