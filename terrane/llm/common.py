@@ -112,8 +112,10 @@ def small(df: DataFrame, size: Column | int, bytes_: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if total <= bytes_ else df
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables that ``cut`` has written in this session; call it once their results are stored elsewhere."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes the tables that ``cut`` has written in this session after the first ``since``, but for ``keep``; call it once their results are stored elsewhere."""
+    paths, WRITTEN[since:] = WRITTEN[since:], [keep] if keep in WRITTEN[since:] else []
+    for name in paths:
+        if name != keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
