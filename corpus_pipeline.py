@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import decontam, neardup, pii, quality, sentencepiece
-from terrane.llm.common import cut, table
+from terrane.llm.common import WRITTEN, cut, sweep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's result is cut into the shared folder, as a stage of its own would be."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each stage's result is cut into the shared folder, as a stage of its own would be, and what led to it is deleted."""
+    docs, since = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, keep=WRITTEN[-1])
     return STAGES[-1][1](spark, docs, sf_dir)
