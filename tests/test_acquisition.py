@@ -1,13 +1,14 @@
 """Records from recorded answers, restarts, limits and stores."""
 
 import json
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from terrane.functions import patches
-from terrane.operators import evaluation
+from terrane.operators import evaluation, pairing
 from terrane.operators import records as rec
 from terrane.plans import acquisition, corpus
 from terrane.sources import readers, schemas, sinks
@@ -71,6 +72,19 @@ def test_positions_are_gapless(spark, tmp_path):
     assert [r.k for r in sorted(found, key=lambda r: r.position)] == sorted(r.k for r in found) and sorted(r.position for r in found) == list(range(100))
 
 
+def test_cells_find_most_neighbours(spark):
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 3) for _ in range(8)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 1) for x in centres[i % 30]]) for i in range(900)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = v.filter("vec_id % 20 = 0")
+    pairs = lambda found: {(r.query_id, r.vec_id) for r in found.collect()}
+    exact = pairs(pairing.nearest(asked, v, 5))
+    assert pairs(pairing.nearest_by_cells(asked, v, 5, 16, 16)) == exact
+    recall = len(pairs(pairing.nearest_by_cells(asked, v, 5, 32, 8)) & exact) / len(exact)
+    assert recall >= 0.9, recall
+
+
 def test_throttle_and_pauses(spark):
     calls = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 5.0), (4, 5.1)], "id long, at double").withColumn("who", F.lit("a"))
     starts = [r.start for r in monitor.throttle(calls, "who", "id", "at", 1.0).orderBy("id").collect()]
