@@ -10,7 +10,7 @@ from ..functions.patches import reverse_patch
 from ..functions.text import PLACEHOLDER, base_name, diff_side, record_id
 from ..functions.tools import detect_tool, is_config_path
 from ..operators import filters, pairing
-from ..operators.records import tier
+from ..operators.records import once, tier
 from ..sources import readers
 
 MESSAGE_CHARS = 500
@@ -20,11 +20,6 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are evaluated once a row, whatever filters and columns use them: a generator of one row holds filters back."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def diff_smells(diff: Column) -> Column:
     """struct<before, after>: smells of the removed and of the added lines."""
     return F.struct(smells_of(diff_side(diff, "-")).alias("before"), smells_of(diff_side(diff, "+")).alias("after"))

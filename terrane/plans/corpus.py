@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.patches import reverse_patch
 from ..functions.text import PLACEHOLDER, content_hash, diff_side, strip
-from ..operators.records import assign_splits, dedup_best, normalise, primary_key, release_best, tier
+from ..operators.records import assign_splits, dedup_best, normalise, once, primary_key, release_best, tier
 
 
 def merge(inputs: list[DataFrame], seed: int = 42) -> DataFrame:
@@ -40,12 +40,12 @@ def salvage(records: DataFrame) -> DataFrame:
     got = F.col("_missing") & ~F.col("_new") & (strip(F.col("_undone.text")) != "")
     quality = F.when(F.col("_new"), "new_file").when(got, F.col("_undone.quality")).when(F.col("_missing"), "unavailable").otherwise(F.coalesce("code_before_quality", F.lit("api")))
     rows = rows.withColumns({"code_before_quality": quality, "code_before": F.when(F.col("_new"), "").when(got, F.col("_undone.text")).otherwise(F.col("code_before")), "has_fix": F.when(F.col("_new"), False).otherwise(F.col("has_fix"))}).drop("_missing", "_new", "_undone")
-    removed = F.when(diff != "", diff_side(diff, "-")).otherwise("")
-    from_diff = smell_types(removed)
-    fresh = F.when((F.col("code_before_quality") == "new_file") & (after != ""), smell_types(after)).when(F.size(from_diff) > 0, from_diff).otherwise(smell_types(F.coalesce("code_before", F.lit(""))))
+    is_new = (F.col("code_before_quality") == "new_file") & (after != "")
+    rows = once(rows, _first=smell_types(F.when(is_new, after).when(diff != "", diff_side(diff, "-")).otherwise("")))
+    rows = once(rows, _fresh=F.when(is_new | (F.size("_first") > 0), F.col("_first")).otherwise(smell_types(F.coalesce("code_before", F.lit("")))))
     known = F.coalesce("smell_types", F.array().cast("array<string>"))
-    rows = rows.withColumn("_known", known).withColumn("smell_types", F.concat("_known", F.array_except(F.array_distinct(fresh), F.col("_known"))))
-    return rows.withColumns({"smells_added": F.size("smell_types") - F.size("_known"), "n_smells": F.size("smell_types"), "source_version": F.lit("v1_salvaged")}).drop("_known").withColumn("tier", tier())
+    rows = rows.withColumn("_known", known).withColumn("smell_types", F.concat("_known", F.array_except(F.array_distinct("_fresh"), F.col("_known"))))
+    return rows.withColumns({"smells_added": F.size("smell_types") - F.size("_known"), "n_smells": F.size("smell_types"), "source_version": F.lit("v1_salvaged")}).drop("_known", "_first", "_fresh").withColumn("tier", tier())
 
 
 def release(inputs: DataFrame, strata: list[str] | None = None, seed: int = 42) -> DataFrame:

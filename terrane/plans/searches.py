@@ -30,7 +30,7 @@ def commit_queries(spark: SparkSession) -> DataFrame:
     """(ord, query): products of the vocabulary in order, distinct by first appearance."""
 
     def words(name: str, values: tuple[str, ...]) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(values)), f"i_{name} long, {name} string")
+        return spark.createDataFrame(list(enumerate(values)), f"i_{name} long, {name} string").coalesce(1)
 
     verb, issue, tool, cwe, scanner, prefix = (words(n, v) for n, v in (("verb", VERBS), ("issue", ISSUES), ("tool", TOOLS), ("cwe", CWES), ("scanner", SCANNERS), ("prefix", PREFIXES)))
     core = verb.crossJoin(issue).crossJoin(tool).select((F.col("i_verb") * len(ISSUES) * len(TOOLS) + F.col("i_issue") * len(TOOLS) + F.col("i_tool")).alias("ord"), F.concat_ws(" ", "verb", "issue", "tool").alias("query"))
