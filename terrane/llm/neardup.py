@@ -183,9 +183,10 @@ def components(links: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are tables of their own, so that the joins have plain sides, which Spark can split at a hub, or need no shuffle.
+        least = small(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"), 16)
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = small(cut(large.groupBy("u").agg(F.min("v").alias("m")), "down"), 16)
         parents = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = cut(large.join(down, "u").select(F.explode(parents).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "links")
 
@@ -196,7 +197,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     rows = pairs.join(left, "b").join(right, "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return rows.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    # Pairs are distinct already; a distinct here would lean on the join's partitioning and so keep Spark from splitting a hub.
+    return rows.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def _stars(shared: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
