@@ -1,16 +1,12 @@
-"""SQL surface: the rules as a view-ready expression and a table function for ad-hoc texts."""
+"""SQL surface: the rules as a table function that SQL itself defines, so that queries in SQL stay native and share the rules' one dialect."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules
 
-COMPILED = [(name, [re.compile(p, re.I | re.M | re.A) for p in patterns]) for name, patterns in rules.RULES]
-
 
 def smells_of(docs: DataFrame, text: str) -> DataFrame:
     """Row to smell rows, natively; the way to use in pipelines."""
@@ -18,18 +14,30 @@ def smells_of(docs: DataFrame, text: str) -> DataFrame:
     return lowered.select(*docs.columns, F.explode(rules.annotations(F.col(text), F.col("_low"))).alias("smell"))
 
 
+def _literal(s: str) -> str:
+    """A string literal of SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def smells_sql(text: str = "t") -> str:
+    """array<struct<type, match>> of a text as SQL: per type the first pattern that matches."""
+    lists: dict[str, list[str]] = {}
+    for name, patterns in rules.RULES:
+        lists.setdefault(name, []).extend(patterns)
+    matches = {name: ", ".join(f"nullif(regexp_extract({text}, {_literal('(?im)' + p)}, 0), '')" for p in patterns) for name, patterns in lists.items()}
+    found = ", ".join(f"named_struct('type', {_literal(name)}, 'match', coalesce({m}))" for name, m in matches.items())
+    return f"filter(array({found}), x -> x.match IS NOT NULL)"
+
+
 def register(spark: SparkSession) -> None:
-    """Registers ``smells(text)`` for SQL: SELECT * FROM docs, LATERAL smells(text)."""
-    compiled = COMPILED
-
-    @F.udtf(returnType="type string, match string")
-    class Smells:
-        def eval(self, text: str):
-            seen = set()
-            for name, patterns in compiled:
-                hit = next((m[0] for p in patterns if name not in seen and (m := p.search(text or ""))), None)
-                if hit is not None:
-                    seen.add(name)
-                    yield name, hit
-
-    spark.udtf.register("smells", Smells)
+    """Registers, as functions that SQL itself defines, both without Python:
+
+    * ``smell_list(text)``: array<struct<type, match>>, an expression of the scan: SELECT id, s.* FROM (SELECT id, smell_list(text) AS found FROM docs) LATERAL VIEW inline(found) s. For large tables.
+    * ``smells(text)``: rows (type, match): SELECT id, s.* FROM docs, LATERAL smells(text) s. Spark joins its rows back by the text, each different text classified once.
+    """
+    found = "ARRAY<STRUCT<type: STRING, match: STRING>>"
+    # A generator can't refer to the outer row itself; nullif has Spark evaluate the list in a projection before it.
+    listed = f"nullif({smells_sql()}, CAST(array() AS {found}))"
+    for name, body in (("smell_list", f"RETURNS {found} RETURN {smells_sql()}"), ("smells", f"RETURNS TABLE(type STRING, match STRING) RETURN SELECT type, match FROM inline({listed})")):
+        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
+        spark.sql(f"CREATE TEMPORARY FUNCTION {name}(t STRING) {body}")

@@ -102,7 +102,6 @@ def decode_base64(content: Column) -> Column:
     return F.decode(F.unbase64(F.regexp_replace(content, "\n", "")), "UTF-8")
 
 
-def split_name(key: Column, stratum_size: Column, rank: Column, train: float = 0.8, val: float = 0.1) -> Column:
-    """Split of the rank-th (from 1) row of a stratum: floor shares for train and val, the rest is test."""
-    n_train, n_val = F.floor(stratum_size * F.lit(train)), F.floor(stratum_size * F.lit(val))
-    return F.when(rank <= n_train, "train").when(rank <= n_train + n_val, "val").otherwise("test")
+def split_sizes(stratum_size: Column, train: float = 0.8, val: float = 0.1) -> tuple[Column, Column]:
+    """Rows of a stratum that go to train and to val: floor shares; the rest is test."""
+    return F.floor(stratum_size * F.lit(train)), F.floor(stratum_size * F.lit(val))

@@ -168,4 +168,11 @@ SELECT id, CASE WHEN missing AND added THEN 'new_file' WHEN missing THEN 'heuris
     "token_bucket": "WITH c AS (SELECT event_id, user_id, epoch_us(ts) / 1e6::DOUBLE AS arrival, (row_number() OVER w - 1) / 0.0001::DOUBLE AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, round(place + max(arrival - place) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 2) AS start FROM c",
     "breaker_pauses": "WITH r AS (SELECT *, (event_type = 'error')::INTEGER AS f, sum(1 - (event_type = 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events), o AS (SELECT *, sum(f) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS k FROM r), p AS (SELECT *, k > 0 AND k % 3 = 0 AS opens FROM o) SELECT event_id, opens, max(CASE WHEN opens THEN epoch_us(ts) + 600000000 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS paused_until_us FROM p",
     "backoff_delays": f"SELECT event_id, greatest(1, floor(least(300.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, event_id % 10)) * (0.75::DOUBLE + ({_HEX}) / 16777216.0::DOUBLE * 0.5::DOUBLE)))::BIGINT AS delay FROM events",
+    "smells_sql_function": f"SELECT doc_id, type, md5(m) AS match_md5 FROM ({classify(whole=True)})",
+    "validated_files": FIRST["validation_stats"],
+    "load_order": "SELECT arg_min('D-' || doc_id, (doc_id % 37 <> 0, doc_id)) AS id, sha256(text) AS content_hash FROM documents GROUP BY 2",
+    "read_planned": f"WITH {KEYED}, s AS (SELECT lang, ceil(count(*) / 100.0)::BIGINT AS n FROM documents GROUP BY 1), p AS (SELECT lang AS unit, (doc_id % n)::INTEGER AS page, sha FROM keyed JOIN s USING (lang)), w AS (SELECT * FROM p WHERE unit <> 'en' AND page >= 1) SELECT unit, page, sha, (SELECT count(DISTINCT (unit, page)) FROM w)::INTEGER AS pages_read, (SELECT count(DISTINCT (unit, page)) FROM p)::INTEGER AS pages FROM w",
+    "stream_recorded": f"WITH {KEYED}, s AS (SELECT lang, ceil(count(*) / 100.0)::BIGINT AS n FROM documents GROUP BY 1) SELECT lang AS unit, (doc_id % n)::INTEGER AS page, sha FROM keyed JOIN s USING (lang)",
+    "resume_bucketed": FIRST["resume_anti_join"],
+    "version_pairs_bucketed": FIRST["version_pairs"],
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from .plans import acquisition, corpus
 from .plans import testviews as views
 from .plans.testviews import records, table
 from .queries import Query
-from .sources import readers, schemas, sinks
+from .sources import connector, readers, schemas, sinks
 from .sources.scratch import shared_folder
-from .streaming import monitor
+from .streaming import monitor, stateful
 
 QUERIES: dict[str, Query] = {}
 
@@ -250,11 +252,82 @@ def text_file(spark, d):
 @query
 def knowledge_upsert(spark, d):
     docs, path = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), shared_folder(spark, "knowledge")
-    sinks.upsert_knowledge(docs.filter("id % 2 = 0"), path, 1)
-    stored = sinks.upsert_knowledge(docs.filter("id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text")), path, 2)
+    sinks.upsert_knowledge(docs.filter("id % 2 = 0"), path)
+    stored = sinks.upsert_knowledge(docs.filter("id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text")), path)
     return stored.select("id", F.md5("text").alias("text_md5"))
 
 
+@query
+def validated_files(spark, d):
+    """A validation run: its rows are written and counted in one go."""
+    rows = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id", "left")
+    done, failed = F.col("quality").isNotNull(), F.coalesce("quality", F.lit(1)) == 0
+    counters = {"processed": F.count_if(done & ~failed), "skipped": F.count_if(~done), "errored": F.count_if(failed), "with_findings": F.count_if(done & (F.col("toxic") > 0))}
+    return sinks.write_counted(rows, shared_folder(spark, "validated"), **counters)
+
+
+@query
+def load_order(spark, d):
+    """Two inputs of unequal size, the small one first: the first load of each text wins."""
+    lines, path = views.record_lines(spark, d, 1), shared_folder(spark, "inputs")
+    for name, rows in (("b.jsonl", lines.filter("doc_id % 37 = 0")), ("a.jsonl", lines.filter("doc_id % 37 <> 0"))):
+        rows.orderBy("doc_id").select("value").write.text(f"{path}/{name}")
+    loaded = readers.read_records(spark, [f"{path}/b.jsonl", f"{path}/a.jsonl"])
+    rows = loaded.select("id", text.content_hash(F.col("code_before")).alias("content_hash"), "has_fix", F.size("smells").alias("n_smells"), "ord")
+    return rec.dedup_best(rows).select("id", "content_hash")
+
+
+def _pages(spark, d) -> str:
+    """Commits as recorded pages of about a hundred items by language, as a crawl leaves them."""
+    items, path = views.commits(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("unit")), "doc_id"), shared_folder(spark, "pages")
+    sizes = items.groupBy("unit").agg(F.ceil(F.count("*") / 100).alias("n_pages"))
+    paged = items.join(F.broadcast(sizes), "unit").withColumn("page", F.pmod(F.col("doc_id"), F.col("n_pages")).cast("int"))
+    item = F.struct("repo", "sha", "parents", "commit", "files")
+    value = F.to_json(F.struct("unit", "page", F.collect_list(item).alias("items")))
+    paged.groupBy("unit", "page").agg(value.alias("value")).write.partitionBy("unit", "page").text(path)
+    return path
+
+
+@query
+def read_planned(spark, d):
+    """Recorded pages without those of done units and of pages taken before: what isn't wanted is never opened."""
+    connector.register(spark)
+    path = _pages(spark, d)
+    pages = lambda: spark.read.format("recorded").option("path", path).option("pagesATask", 1).load()
+    wanted = pages().filter((F.col("unit") != "en") & (F.col("page") >= 1))
+    n_read, n_all = wanted.rdd.getNumPartitions(), pages().rdd.getNumPartitions()
+    return wanted.select("unit", "page", F.get_json_object("item", "$.sha").alias("sha"), F.lit(n_read).alias("pages_read"), F.lit(n_all).alias("pages"))
+
+
+@query
+def stream_recorded(spark, d):
+    """A stream over recorded pages that stops and goes on from its marks: each page is taken once."""
+    connector.register(spark)
+    path = _pages(spark, d)
+    for _ in range(2):
+        stream = spark.readStream.format("recorded").option("path", path).load().select("unit", "page", F.get_json_object("item", "$.sha").alias("sha"))
+        stateful.run_available(stream, f"{path}-taken", f"{path}-marks")
+    return spark.read.schema("unit string, page int, sha string").parquet(f"{path}-taken")
+
+
+@query
+def resume_bucketed(spark, d):
+    """Documents that no label names, against a store bucketed by id."""
+    name = f"terrane_labels_{uuid.uuid4().hex}"
+    done = sinks.write_bucketed(table(spark, d, "labels"), name, ["doc_id"])
+    return pairing.not_stored(table(spark, d, "documents").select("doc_id"), done, ["doc_id"])
+
+
+@query
+def version_pairs_bucketed(spark, d):
+    """Before and after of each change, from versions stored once, bucketed by file and commit."""
+    e = table(spark, d, "events")
+    versions = e.select(F.col("user_id").alias("repo"), F.col("event_type").alias("path"), F.col("event_id").alias("ref"), F.col("props").alias("content"))
+    stored = sinks.write_bucketed(versions, f"terrane_versions_{uuid.uuid4().hex}", ["repo", "path", "ref"])
+    files = e.select(F.col("user_id").alias("repo"), F.col("event_type").alias("path"), F.col("event_id").alias("commit_sha"), (F.col("event_id") - 1).alias("parent_sha"))
+    return filters.version_pairs(files, stored).select("commit_sha", "code_before", "code_after")
+
+
 @query
 def stream_ingest(spark, d):
     """An append-only ingest that is started twice; the second start finds nothing new."""
@@ -390,12 +463,20 @@ def patch_round_trip(spark, d):
 
 @query
 def smells_table_function(spark, d):
-    """The rules as a SQL table function."""
+    """The rules as a table function of SQL."""
     table_functions.register(spark)
     table(spark, d, "documents").createOrReplaceTempView("terrane_documents")
     return spark.sql("SELECT doc_id, s.type FROM terrane_documents, LATERAL smells(text) s")
 
 
+@query
+def smells_sql_function(spark, d):
+    """The rules as an expression function of SQL, evaluated in the scan."""
+    table_functions.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("terrane_documents")
+    return spark.sql("SELECT doc_id, s.type, md5(s.match) AS match_md5 FROM (SELECT doc_id, smell_list(text) AS found FROM terrane_documents) LATERAL VIEW inline(found) s AS type, match")
+
+
 # --- counts, orders, limits ---
 
 

@@ -43,6 +43,11 @@ def not_done(new: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def not_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """``not_done`` against a table bucketed by the keys: only the new rows are shuffled, to the table's buckets."""
+    return new.join(stored.select(*keys).hint("merge"), keys, "left_anti")
+
+
 def lookup(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Left lookup in a dimension with one row per key."""
     return rows.join(small(dimension), key, "left")
@@ -91,3 +96,45 @@ def nearest_by_cells(queries: DataFrame, vectors: DataFrame, k: int, cells: int
     found = found.select("query_id", "vec_id", distance(F.col("embedding"), F.col("qe")).alias("distance"))
     rank = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+
+def nearest_by_radii(queries: DataFrame, vectors: DataFrame, k: int, folder: str, cells: int = 64, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, distance, rank) as ``nearest`` has them, through an index that proves what it leaves out.
+
+    Every vector lies in the cell of its nearest centre and knows its distance from it; a cell is dealt into blocks of about ``block`` rows, so a
+    crowded one is many tasks' work. In round one a query looks into as many of its nearest cells as hold ``k`` rows, which bounds the distance of its k-th neighbour.
+    In round two it meets the blocks that may hold something nearer: by the triangle inequality no row of a cell is nearer than the query's distance from
+    the centre less the cell's radius, and within a cell no row nearer than the difference of both distances from the centre. Rows and cells are kept
+    in ``folder``; centres are ``cells`` sampled vectors, as in ``nearest_by_cells``.
+    """
+    spark = vectors.sparkSession
+    centres = vectors.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(cells).agg(F.collect_list("embedding").alias("centres"))  # ``cells`` vectors
+    places = F.transform("centres", lambda c, i: F.struct(distance(F.col("embedding"), c).alias("d"), i.alias("cell")))
+    measured = lambda rows: rows.select("vec_id", "embedding").crossJoin(F.broadcast(centres)).withColumn("places", places).drop("centres")
+    indexed = measured(vectors).select("vec_id", "embedding", F.array_min("places").alias("p")).select("vec_id", "embedding", "p.cell", F.col("p.d").alias("from_centre"))
+    indexed.write.partitionBy("cell").parquet(f"{folder}/rows")
+    indexed = spark.read.schema(indexed.schema).parquet(f"{folder}/rows")
+    sizes = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.max("from_centre").alias("radius"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    sizes.withColumn("blocks", blocks).write.parquet(f"{folder}/cells")
+    sizes = F.broadcast(spark.read.schema("cell int, n long, radius double, blocks int").parquet(f"{folder}/cells"))  # at most ``cells`` rows
+    rows = indexed.join(sizes.select("cell", "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    asked = measured(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.inline("places")).join(sizes, "cell")
+    upto = Window.partitionBy("query_id").orderBy("d", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    asked.write.parquet(f"{folder}/asked")
+    asked = spark.read.schema(asked.schema).parquet(f"{folder}/asked")
+    spread = lambda a: a.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rank = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+
+    def met(a: DataFrame, near: Column) -> DataFrame:
+        pairs = spread(a).drop("blocks").join(rows.drop("blocks"), ["cell", "block"]).filter(near)
+        return pairs.select("query_id", "vec_id", distance(F.col("embedding"), F.col("qe")).alias("distance"))
+
+    first = met(asked.filter(F.col("before") < k), F.lit(True)).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    bound = first.groupBy("query_id").agg(F.max("distance").alias("bound"), F.count("*").alias("m")).select("query_id", F.when(F.col("m") == k, F.col("bound")).otherwise(float("inf")).alias("bound"))
+    # Rounding of distances must not lose a neighbour at the bound itself.
+    slack = F.col("bound") * (1 + 1e-9) + 1e-9
+    again = asked.join(bound, "query_id").filter(F.col("d") - F.col("radius") <= slack)
+    found = met(again, F.abs(F.col("d") - F.col("from_centre")) <= slack)
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import smells
-from ..functions.text import PLACEHOLDER, STRONG_KEYWORDS, contains_any, content_hash, labels, split_name, strip
+from ..functions.text import PLACEHOLDER, STRONG_KEYWORDS, contains_any, content_hash, labels, split_sizes, strip
+from ..sources.scratch import shared_folder
+from .pairing import small
 
 TIERS = ("A", "B", "C", "D")
+#: First hex digits of a hash that make up a bucket of ranks: 4096 buckets a stratum.
+BUCKET_DIGITS = 3
 SMELLS = "array<struct<type:string,cwe:string,checkov_id:string,severity:string,category:string,description:string,line_number:int>>"
 
 
@@ -79,20 +83,44 @@ def release_best(records: DataFrame, key: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_key", "_score")
 
 
-def assign_splits(records: DataFrame, strata: list[str], seed: int = 42, id_col: str = "id") -> DataFrame:
+def assign_splits(records: DataFrame, strata: list[str], seed: int = 42, id_col: str = "id", folder: str | None = None) -> DataFrame:
     """Stratified splits, exact in count and deterministic by seed: rows rank by the SHA-256 of seed and id.
 
-    A stratum may hold most rows, so ranks are made in two steps: the hash's first byte deals each stratum into 256 buckets,
-    whose counts give every bucket its first rank; rows are then ranked within their bucket only.
+    ``records`` is computed once, into ``folder`` (a new shared one by default); all else reads narrow columns of it. The splits of a stratum end at two
+    ranks, and counts by the first digits of the hash tell in which bucket each of them lies; only rows of those buckets are ranked. Every
+    row then compares its hash with its stratum's two bounds, so texts are never shuffled, and no stratum meets in one task. Rows of one id share a split.
     """
-    drawn = records.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col)), 256)).withColumn("_b", F.substring("_h", 1, 2))
-    counts = drawn.groupBy(*strata, "_b").agg(F.count("*").alias("_m"))
+    spark = records.sparkSession
+    folder = folder or shared_folder(spark, "split")
+    drawn = records.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col)), 256))
+    drawn.write.parquet(folder)
+    rows = spark.read.schema(drawn.schema).parquet(folder)
+    bucket = F.substring("_h", 1, BUCKET_DIGITS)
+    counts = rows.groupBy(*strata, bucket.alias("_b")).agg(F.count("*").alias("_m"))
     stratum = Window.partitionBy(*strata)
-    firsts = counts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_b").alias("_b2"), F.coalesce(F.sum("_m").over(stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("_m").over(stratum).alias("_size"))
-    same = (F.col("_b") == F.col("_b2")) & _all([F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)])
-    ranked = drawn.withColumn("_n", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", id_col)))
-    joined = ranked.join(firsts, same)
-    return joined.withColumn("split", split_name(F.col(id_col), F.col("_size"), F.col("_n") + F.col("_first"))).drop("_h", "_b", "_b2", "_n", "_first", "_size", *[f"_s{i}" for i in range(len(strata))])
+    before = F.coalesce(F.sum("_m").over(stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = counts.withColumns({"_before": before, "_size": F.sum("_m").over(stratum)})
+    n_train, n_val = split_sizes(F.col("_size"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("_end"), n_train.alias("_rank")), F.struct(F.lit(1).alias("_end"), (n_train + n_val).alias("_rank"))))
+    wanted = sized.withColumn("e", ends).withColumn("_at", F.col("e._rank") - F.col("_before")).filter((F.col("_at") > 0) & (F.col("_at") <= F.col("_m")))
+    wanted = wanted.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(strata)], F.col("_b").alias("_wb"), "e._end", "_at")
+    # Ranks within the buckets where a split ends: a few thousandths of the rows, ids and hashes only.
+    narrow = rows.select(*strata, F.col(id_col).alias("_id"), "_h", bucket.alias("_b"))
+    inside = narrow.join(wanted.select(*[f"_w{i}" for i in range(len(strata))], "_wb").distinct(), _same(strata, "_w") & (F.col("_b") == F.col("_wb")), "left_semi")
+    ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", "_id")))
+    met = ranked.join(wanted, _same(strata, "_w") & (F.col("_b") == F.col("_wb")) & (F.col("_n") == F.col("_at")))
+    end = lambda k: F.max(F.when(F.col("_end") == k, F.struct("_h", "_id"))).alias(f"_end{k}")
+    bounds = met.groupBy(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)]).agg(end(0), end(1))
+    bounds.write.parquet(f"{folder}-bounds")
+    bounds = small(spark.read.schema(bounds.schema).parquet(f"{folder}-bounds"))
+    key = F.struct("_h", F.col(id_col).alias("_id"))
+    split = F.when(F.coalesce(key <= F.col("_end0"), F.lit(False)), "train").when(F.coalesce(key <= F.col("_end1"), F.lit(False)), "val").otherwise("test")
+    joined = rows.join(bounds, _same(strata), "left")
+    return joined.withColumn("split", split).drop("_h", "_end0", "_end1", *[f"_s{i}" for i in range(len(strata))])
+
+
+def _same(strata: list[str], prefix: str = "_s") -> Column:
+    return _all([F.lit(True), *[F.col(c).eqNullSafe(F.col(f"{prefix}{i}")) for i, c in enumerate(strata)]])
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:

@@ -58,7 +58,7 @@ def _first(patterns: list[str]) -> str:
     return f"coalesce({', '.join(parts)}, NULL)"
 
 
-def classify(rel: str = "documents") -> str:
+def classify(rel: str = "documents", whole: bool = False) -> str:
     """Rows (doc_id, type, cwe, severity, checkov_id, description) of the smells in a relation's texts."""
     rows, seen = [], {}
     for i, (name, patterns) in enumerate(rules.RULES):
@@ -66,6 +66,8 @@ def classify(rel: str = "documents") -> str:
         seen.setdefault(name, patterns)
         cwe, severity, check = next((c, s, (ids or [None])[0]) for n, c, s, _, ids in rules.TAXONOMY if n == name)
         rows.append(f"SELECT doc_id, {Q(name)} AS type, {Q(cwe)} AS cwe, {Q(severity)} AS severity, {Q(check) if check else 'NULL'} AS checkov_id, {_first(patterns)} AS m FROM {rel} WHERE {guard}{_first(patterns)} IS NOT NULL")
+    if whole:
+        return "SELECT doc_id, type, m FROM (" + " UNION ALL ".join(rows) + ")"
     return "SELECT doc_id, type, cwe, severity, checkov_id, 'Pattern match: ' || left(m, 80) AS description FROM (" + " UNION ALL ".join(rows) + ")"
 
 
@@ -196,3 +198,4 @@ ORACLES |= {
     "prompts": f"WITH {RECORDS} SELECT id, md5({_prompt()}) AS prompt_md5, md5('IaC tool: ' || iac_tool || '. Security issues: ' || array_to_string(smell_types, '; ') || '. How to fix?' || CASE input_rank WHEN 1 THEN ' Focus on minimal, targeted changes only.' WHEN 2 THEN ' Provide the most conservative and safe remediation possible.' ELSE '' END) AS query_md5 FROM records",
     "primary_keys": f"WITH {RECORDS} SELECT id, md5('content' || chr(1) || content_hash) AS key_md5 FROM records",
 }
+ORACLES["knn_indexed"] = ORACLES["knn_topk"]

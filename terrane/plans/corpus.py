@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.patches import reverse_patch
 from ..functions.text import PLACEHOLDER, content_hash, diff_side, strip
+from ..sources.sinks import write_counted
 from ..operators.records import assign_splits, dedup_best, normalise, once, primary_key, release_best, tier
 
 
@@ -22,8 +23,13 @@ def merge(inputs: list[DataFrame], seed: int = 42) -> DataFrame:
     return assign_splits(dedup_best(hashed), ["iac_tool"], seed)
 
 
-def merge_stats(merged: DataFrame, loaded: int) -> DataFrame:
-    return merged.agg(F.count("*").alias("total"), F.count_if("has_fix").alias("with_fix"), F.count_if(~F.col("has_fix")).alias("without_fix"), (F.lit(loaded) - F.count("*")).alias("duplicates_removed"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")])
+def merge_counted(inputs: list[DataFrame], path: str, seed: int = 42) -> DataFrame:
+    """Merges into ``path``; (total, with_fix, without_fix, duplicates_removed, train, val, test), counted while the merged rows are written."""
+    loaded = sum(rows.count() for rows in inputs)  # of whole inputs: read from file footers, no column is scanned
+    fix = F.coalesce("has_fix", F.lit(False))
+    splits = {s: F.count_if(F.col("split") == s) for s in ("train", "val", "test")}
+    counted = write_counted(merge(inputs, seed), path, total=F.count(F.lit(1)), with_fix=F.count_if(fix), without_fix=F.count_if(~fix), **splits)
+    return counted.withColumn("duplicates_removed", F.lit(loaded) - F.col("total"))
 
 
 def smell_types(text: Column) -> Column:

@@ -51,8 +51,8 @@ def split_counts(spark, d):
 
 @query
 def merge_stats(spark, d):
-    loaded = table(spark, d, "documents").count()
-    return corpus.merge_stats(corpus.merge([records(spark, d)]), loaded)
+    """The merged records go to a file store; what went there is counted on the way."""
+    return corpus.merge_counted([records(spark, d)], shared_folder(spark, "merged"))
 
 
 @query
@@ -219,6 +219,14 @@ def knn_topk(spark, d):
     return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query
+def knn_indexed(spark, d):
+    """The neighbours of ``knn_topk`` through an index that proves what it leaves out."""
+    e = table(spark, d, "embeddings")
+    near = pairing.nearest_by_radii(e.filter("vec_id % 20 = 0"), e, 5, shared_folder(spark, "neighbours"))
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 def _findings(spark, d):
     return table(spark, d, "events").select("user_id", F.col("event_type").alias("rule_id"), F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "before").otherwise("after").alias("side"))
 

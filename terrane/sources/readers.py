@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +22,6 @@ SECURITY_MESSAGE = (
 COMMIT_URL = r"(?i)^https?://github\.com/([a-zA-Z0-9_.-]+)/([a-zA-Z0-9_.-]+)/commit/([0-9a-f]{7,40})"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
-
-
 def _complete(line: Column) -> Column:
     """The line is an object with all required fields and no unknown one; the same holds for each of its smells."""
     keys, names = F.json_object_keys(line), lambda names: F.array(*[F.lit(n) for n in names])
@@ -34,18 +31,39 @@ def _complete(line: Column) -> Column:
     return F.coalesce(within(keys, schemas.RECORD.names, schemas.REQUIRED) & F.forall(smells, lambda x: within(F.map_keys(x), known, ["type"])), F.lit(False))
 
 
+def _matches(spark: SparkSession, path: str) -> list[str]:
+    """What a path or pattern names, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(x.getPath().toUri().toString() for x in found or ())
+
+
+def load_order(inputs: list[str]) -> Column:
+    """struct<input, file, block, place>: compares like the order in which lines would be loaded one input after another.
+
+    Spark packs splits by size, so ids by task don't follow it; the rank of the input, the file's path, where its block begins and the place in the block do.
+    """
+    file = F.col("_metadata.file_path")
+    bare = F.regexp_replace(file, "^[a-z]+:/+", "/")
+    rank = F.coalesce(*[F.when((bare == one) | bare.startswith(f"{one}/"), i) for i, one in enumerate(re.sub("^[a-z]+:/+(?=[^/])", "/", x) for x in inputs)], F.lit(len(inputs)))
+    return F.struct(rank.alias("input"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+ORDER = "struct<input: int, file: string, block: bigint, place: bigint>"
+
+
 def read_records(spark: SparkSession, paths: str | list[str], strict: bool = True, fail_fast: bool = False) -> DataFrame:
     """Records from JSON lines. Blank and unreadable lines go; strict also drops rows that lack a required key or have an unknown one.
 
-    Missing paths are empty. ``ord`` is taken right after the scan, before any shuffle, and stands for load order within ``input_file``.
+    Missing paths are empty. ``ord`` compares in load order: inputs in the order given (those of a pattern by name), then files, then lines.
     """
-    found = [p for p in ([paths] if isinstance(paths, str) else paths) if _exists(spark, p)]
+    found = [x for p in ([paths] if isinstance(paths, str) else paths) for x in _matches(spark, p)]
     if not found:
-        return spark.createDataFrame([], T.StructType([*schemas.RECORD.fields, T.StructField("input_file", T.StringType()), T.StructField("ord", T.LongType())]))
+        return spark.createDataFrame([], T.StructType([*schemas.RECORD.fields, T.StructField("input_file", T.StringType())])).withColumn("ord", F.lit(None).cast(ORDER))
     if fail_fast:
         rows = spark.read.schema(schemas.RECORD).option("mode", "FAILFAST").json(found)
-        return rows.withColumns({"input_file": F.col("_metadata.file_path"), "ord": F.monotonically_increasing_id()})
-    lines = spark.read.text(found).select("value", F.col("_metadata.file_path").alias("input_file"), F.monotonically_increasing_id().alias("ord"))
+        return rows.withColumns({"input_file": F.col("_metadata.file_path"), "ord": load_order(found)})
+    lines = spark.read.text(found).select("value", F.col("_metadata.file_path").alias("input_file"), load_order(found).alias("ord"))
     kept = _complete(F.col("value")) if strict else F.json_object_keys("value").isNotNull()
     return lines.filter(kept).select(F.from_json("value", schemas.RECORD).alias("r"), "input_file", "ord").select("r.*", "input_file", "ord")
 

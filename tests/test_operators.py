@@ -197,15 +197,15 @@ def test_summaries(spark, tmp_path):
     assert [x.n for x in items] == [0, 2, 3]
 
 
-def test_connector_and_table_function(spark, tmp_path):
+def test_table_functions_are_native(spark):
     from terrane.functions import table_functions
-    from terrane.sources import connector
 
-    connector.register(spark)
-    (tmp_path / "p1.json").write_text(json.dumps({"unit": "q::w", "page": 2, "items": [{"sha": "1"}, {"sha": "2"}]}))
-    rows = spark.read.format("recorded").option("path", str(tmp_path)).load()
-    assert sorted(json.loads(r.item)["sha"] for r in rows.collect()) == ["1", "2"] and rows.first().page == 2
     table_functions.register(spark)
-    spark.createDataFrame([(1, "privileged: true")], "i int, t string").createOrReplaceTempView("scripts")
-    assert [r.type for r in spark.sql("SELECT s.type FROM scripts, LATERAL smells(t) s").collect()] == ["privileged_container"]
-    assert [r.smell.type for r in table_functions.smells_of(spark.table("scripts"), "t").collect()] == ["privileged_container"]
+    spark.createDataFrame([(1, "privileged: true"), (2, None), (3, "privileged: true")], "i int, t string").createOrReplaceTempView("scripts")
+    rows = spark.sql("SELECT i, s.type FROM scripts, LATERAL smells(t) s")
+    assert sorted((r.i, r.type) for r in rows.collect()) == [(1, "privileged_container"), (3, "privileged_container")]
+    listed = spark.sql("SELECT i, s.type FROM (SELECT i, smell_list(t) AS found FROM scripts) LATERAL VIEW inline(found) s AS type, match")
+    assert sorted((r.i, r.type) for r in listed.collect()) == [(1, "privileged_container"), (3, "privileged_container")]
+    for plan in (rows, listed):
+        assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [r.smell.type for r in table_functions.smells_of(spark.table("scripts"), "t").collect()] == ["privileged_container"] * 2
