@@ -2,18 +2,22 @@
 
 Pages of a host are merged by the style path of their elements (tag and class names from the body down). Every style node gets
 an importance from two entropies over the host's pages: of its presentations (the kinds of its child elements) and of its contents (all text
-in its branches).
-A node whose contents and presentation repeat from page to page is noise; branches below the threshold are
-removed from each page, inside a declared article as well. Pages of a host that say the same count once, so copies of a page don't make
-it noise. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
+in its branches). A node whose contents and presentation repeat from page to page is unimportant. Repetition alone doesn't make noise, as headings, quotes
+and licence lines recur in articles: only branches go that differ in kind from running text, too. So a branch goes if it is unimportant, is
+a container (never a heading, paragraph, quote, item, cell or part of a line), and
+
+* consists of links and controls (``LINKED`` of its text or more), inside a declared article as well as outside, or
+* lies outside the declared article of a page that declares one.
+
+Pages of a host that say the same count once, so copies of a page don't make it noise. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
 comments, ...) go whatever their entropy; all else is kept, in an <article> or not. A class, id or role declares only by a whole token
 (``cookie-notice`` does, ``has-sidebar`` doesn't), and never html, body, article, main or an element that holds a main or all articles of the page.
 
 What is gathered per host is one row per style node and distinct content, summed before any shuffle. Removed paths travel
 to the pages as one short list of hashes per host, broadcast only if the list is proven small, else by a join that can split hot hosts.
 
-A node is judged once ``LEAST_PAGES`` pages of different text hold it: by one page nothing repeats, and two that agree may be two
-versions of one article. With few pages a node is low only if nearly all agree (of three, all), so no other bound is needed.
+A node is judged if pages of different text hold it, two at least and ``SHARE`` of the host's, so that the evidence grows with the host: what a site repeats
+everywhere is judged alike on two pages and on two million, and what a few of many pages share is left.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; pages cut off in the middle keep what is
 readable (a cut-off tag is markup); repeated rows get equal rows; extra columns are ignored.
@@ -49,11 +53,14 @@ OUTER_TAGS = frozenset("header button".split())
 OUTER_WORDS = frozenset("nav navbar navigation menu menubar footer header breadcrumb breadcrumbs masthead topbar toolbar banner contentinfo complementary".split())
 #: Elements that no class word condemns.
 FRAME = frozenset("html body article main".split())
-#: Share of the contents in a node's importance; threshold; pages of a host below which nothing is judged.
-CONTENT_SHARE, THRESHOLD, LEAST_PAGES = 0.9, 0.15, 3
+#: Elements that may go for their importance: containers, never running text or parts of it.
+CONTAINERS = frozenset("div section ul ol dl table center details nav menu".split())
+#: Elements whose text counts as links and controls.
+LINKS = frozenset("a button option".split())
+#: Share of the contents in a node's importance; threshold; share of a host's pages that hold a node which is judged; share of links in what is no text.
+CONTENT_SHARE, THRESHOLD, SHARE, LINKED = 0.9, 0.15, 0.3, 0.8
 #: Rows (a host and its few removed paths) up to which the removal lists are broadcast.
 BROADCAST_ROWS = 50_000
-BATCH_PAGES = 500
 
 
 def _events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -97,14 +104,16 @@ def _declares(tokens: list[list[str]], names: frozenset[str]) -> bool:
 class _Walk:
     """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article, within which a header is content)."""
 
-    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False, cleared: frozenset[int] = frozenset()):
+    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False, cleared: frozenset[int] = frozenset(), outer: frozenset[int] = frozenset()):
         self.stack: list[tuple[str, str, bool, bool]] = []
         self.blocks: list[str] = []
         self.whole = xxhash.xxh64()  # of all text of the page
         self.nodes: dict[str, xxhash.xxh64] = {}  # style path -> digest of all text in its branches
         self.tree = tree
         self.children: dict[str, list[str]] = {}  # style path -> child tags
-        self.low = low
+        self.chars: dict[str, list[int]] = {}  # style path -> characters in its branches, those of links among them
+        self.low = low  # unimportant paths of links and controls
+        self.outer = outer  # other unimportant paths, which go outside a declared article
         self.cleared = cleared  # numbers of elements that class words don't condemn
         self.number = self.articles = 0  # elements and articles so far
         self.held: dict[int, int] = {}  # element that a class word condemns -> articles within
@@ -124,8 +133,12 @@ class _Walk:
         noise = bool(self.stack) and self.stack[-1][2]
         if self.tree and (said := " ".join(value.split())):
             self.whole.update(f"{said}\n")
+            linked = len(said) if any(tag in LINKS for tag, _, _, _ in self.stack) else 0
             for _, open_path, _, _ in self.stack:
                 self.nodes.setdefault(open_path, xxhash.xxh64()).update(f"{said}\n")
+                chars = self.chars.setdefault(open_path, [0, 0])
+                chars[0] += len(said)
+                chars[1] += linked
         if not noise:
             self.buffer.append(value)
 
@@ -165,7 +178,10 @@ class _Walk:
             declared = self.number not in self.cleared
             self.held[self.number] = 0
             self.marked.append((len(self.stack), self.number))
-        repeated = bool(self.low) and xxhash.xxh64_intdigest(path) in self.low
+        repeated = False
+        if tag in CONTAINERS and (self.low or self.outer):
+            node = xxhash.xxh64_intdigest(path)
+            repeated = node in self.low or (node in self.outer and not article)
         self.stack.append((tag, path, noise or declared or repeated, article))
 
     def imply(self, tag: str) -> None:
@@ -190,11 +206,12 @@ class _Walk:
                 return
 
 
-def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    """All blocks that neither markup nor their importance (``low``: hashes of unimportant style paths) make noise."""
+def main_text(page: str, low: frozenset[int] = frozenset(), outer: frozenset[int] = frozenset()) -> str:
+    """All blocks that neither markup nor their importance makes noise. ``low``: hashes of unimportant style paths of links; ``outer``: of others, for pages that declare an article."""
     walk = _Walk(page, low)
     frames = frozenset(x for x, n in walk.held.items() if x in walk.mains or (n and n == walk.articles))
-    return "\n".join((_Walk(page, low, cleared=frames) if frames else walk).blocks)
+    outside = outer if walk.articles else frozenset()
+    return "\n".join((_Walk(page, low, cleared=frames, outer=outside) if frames or outside else walk).blocks)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,25 +222,31 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in walk.nodes.keys() | walk.children.keys():
                 if path:
                     content, shape = walk.nodes.get(path), walk.children.get(path, [])
-                    rows.append((host, path, content.intdigest() if content else 0, xxhash.xxh64_intdigest(" ".join(dict.fromkeys(shape))), walk.whole.intdigest()))
+                    rows.append((host, path, content.intdigest() if content else 0, xxhash.xxh64_intdigest(" ".join(dict.fromkeys(shape))), walk.whole.intdigest(), *walk.chars.get(path, (0, 0))))
         signed = [[x - (1 << 64) if x >= 1 << 63 else x for x in col] for col in ([xxhash.xxh64_intdigest(r[1]) for r in rows], *([r[i] for r in rows] for i in (2, 3, 4)))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array(col, pa.int64()) for col in signed)], ["host", "node", "content", "shape", "page"])
+        sizes = [pa.array([r[i] for r in rows], pa.int64()) for i in (5, 6)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array(col, pa.int64()) for col in signed), *sizes], ["host", "node", "content", "shape", "page", "chars", "linked"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of every style node, over the host's pages of different text."""
-    rows = pages.select(_host(), "html").mapInArrow(_nodes, "host string, node long, content long, shape long, page long")
-    counted = cut(rows.groupBy("host", "node", "content", "shape").agg(F.count_distinct("page").alias("n")), "nodes")
+    """(host, node, pages, host_pages, importance, linked) of every style node, over the host's pages of different text; ``linked`` is the share of links in its text."""
+    rows = pages.select(_host(), "html").mapInArrow(_nodes, "host string, node long, content long, shape long, page long, chars long, linked long")
+    sums = [F.sum("chars").alias("chars"), F.sum("linked").alias("linked")]
+    counted = cut(rows.groupBy("host", "node", "content", "shape").agg(F.count_distinct("page").alias("n"), *sums), "nodes")
 
     def entropy(feature: str) -> DataFrame:
         """Entropy of a feature over a node's pages, to the base of their number: 1 if all differ, 0 if all agree."""
-        each = counted.groupBy("host", "node", feature).agg(F.sum("n").alias("n"))
-        sums = each.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+        each = counted.groupBy("host", "node", feature).agg(F.sum("n").alias("n"), *sums)
+        total = each.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"), *sums)
         spread = F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.ln("pages")).otherwise(1.0)
-        return sums.select("host", "node", "pages", spread.alias(feature))
+        return total.select("host", "node", "pages", spread.alias(feature), "chars", "linked")
 
-    both = entropy("content").join(entropy("shape").drop("pages"), ["host", "node"])
-    return both.select("host", "node", "pages", (CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.col("shape")).alias("importance"))
+    both = entropy("content").join(entropy("shape").drop("pages", "chars", "linked"), ["host", "node"])
+    # The node that most pages hold stands for their number; a host's frame is on all of them.
+    most = both.groupBy("host").agg(F.max("pages").alias("host_pages"))
+    share = F.when(F.col("chars") > 0, F.col("linked") / F.col("chars")).otherwise(0.0)
+    importance = CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.col("shape")
+    return both.join(most, "host").select("host", "node", "pages", "host_pages", importance.alias("importance"), share.alias("linked"))
 
 
 def _host() -> Column:
@@ -231,19 +254,22 @@ def _host() -> Column:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unsigned = lambda column: [frozenset(x % (1 << 64) for x in found or ()) for found in column.to_pylist()]
     for batch in batches:
-        low = [frozenset(x % (1 << 64) for x in found or ()) for found in batch.column(3).to_pylist()]
-        texts = [main_text(page or "", paths) for page, paths in zip(batch.column(2).to_pylist(), low, strict=True)]
+        # A page at a time, so that a batch of large pages isn't held twice.
+        texts = [main_text(page.as_py() or "", low, outer) for page, low, outer in zip(batch.column(2), unsigned(batch.column(3)), unsigned(batch.column(4)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page row."""
-    tree = style_tree(pages).filter((F.col("importance") < threshold) & (F.col("pages") >= least_pages))
-    removed = cut(tree.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("low")), "removed")
+    tree = style_tree(pages).filter((F.col("importance") < threshold) & (F.col("pages") >= 2) & (F.col("pages") >= share * F.col("host_pages")))
+    links = F.col("linked") >= LINKED
+    listed = lambda kept: F.collect_set(F.when(kept, F.col("node")))
+    removed = cut(tree.groupBy(F.col("host").alias("_host")).agg(listed(links).alias("low"), listed(~links).alias("outer")), "removed")
     # A site has few style nodes; hosts are what may be many, so their number decides.
     if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         removed = F.broadcast(removed)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host())
-    rows = rows.join(removed, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "low")
+    rows = rows.join(removed, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "low", "outer")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality
 from .chat import CONTROLS, END, ESC, START
 from .licenses import KNOWN, SPELLINGS
 
@@ -38,9 +39,12 @@ judged AS (
        + CASE WHEN 10 * n_letter_words < 5 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits
   FROM measured)
 """
+#: The rule whose bit is the only one set.
+ONLY = "CASE fail_bits " + " ".join(f"WHEN {quality.BIT[name]} THEN '{name}'" for name, _ in quality.RULES) + " END"
 OP10 = f"""WITH {QUALITY}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
+       {ONLY} AS only_rule, CASE WHEN {ONLY} IS NOT NULL THEN count(*) OVER (PARTITION BY fail_bits) END AS only_rule_n
 FROM judged"""
 
 #: Benchmark windows and their occurrences over tables ``documents`` and ``benchmark``.

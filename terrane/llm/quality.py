@@ -141,6 +141,17 @@ def ablation(rows: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     )
 
 
+def with_ablation(rows: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
+    """Adds ``only_rule``, the rule without which the policy would keep a document, and ``only_rule_n``, how many documents hang on that rule alone.
+
+    ``rows`` is a ledger that was cut; the ablation is a table of as many rows as there are rules.
+    """
+    failed = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
+    alone = F.coalesce(*[F.when(failed == F.lit(BIT[n]), F.lit(n)) for n, _ in RULES if BIT[n] & policy.mask])
+    only = F.broadcast(ablation(rows, policy).select(F.col("rule").alias("only_rule"), F.col("n_only").cast("long").alias("only_rule_n")))
+    return rows.withColumn("only_rule", alone).join(only, "only_rule", "left")
+
+
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, text_col: str = "text") -> DataFrame:
     """The document rows that a policy keeps, with their columns as they are: a filter, without a join."""
     return docs.filter(let(measure(whole_text(text_col)), fail_bits).bitwiseAND(F.lit(policy.mask | BASE_MASK)) == 0)

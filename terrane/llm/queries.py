@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
-from .common import table
+from .common import cut, table
 from . import chat, codes, decontam, html, langid, licenses, neardup, pii, quality, secrets, sentencepiece, sharding, variants
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    """The ledger is kept as a table of numbers; the policy's verdict and its ablation are read from it."""
+    rows = quality.apply_policy(quality.with_ablation(cut(quality.ledger(table(spark, sf_dir, "documents")), "ledger")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "only_rule", "only_rule_n")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

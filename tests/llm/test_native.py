@@ -146,3 +146,17 @@ def test_plans_hold_no_python(spark):
     for df in (quality.ledger(docs), quality.keep(docs), secrets.scan(docs), licenses.scan(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
     assert F.lit(1) is not None
+
+
+def test_ablation_of_each_document(spark):
+    from terrane.llm import quality
+
+    texts = ["word " * 10, "$ # " * 60, "", " ".join(f"w{i}" for i in range(80)), "a " + " ".join(f"x{i}$$$" for i in range(80))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, texts[4])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.with_ablation(quality.ledger(docs)).collect()}
+    names = {i: [n for n, b in quality.BIT.items() if r.fail_bits & b] for i, r in rows.items()}
+    assert names[3] == [] and names[4] == ["many_symbols"]
+    for i, r in rows.items():
+        alone = names[i][0] if len(names[i]) == 1 else None
+        assert (r.only_rule, r.only_rule_n) == (alone, alone and sum(n == [alone] for n in names.values()))
+    assert rows[4].only_rule_n == 2 and quality.with_ablation(quality.ledger(docs.limit(0))).count() == 0
