@@ -7,7 +7,6 @@ import re
 from .functions import rules
 from .functions.text import MESSAGE_KEYWORDS, PLACEHOLDER, SIGNAL_KEYWORDS, STRONG_KEYWORDS
 from .functions.tools import SIGNATURES
-from .io_queries import DIFF_LINES
 from .operators.filters import BAD_WORDS, CODE_WORDS, GOOD_WORDS
 from .operators.summaries import CWE_NAMES, ISSUE, REMEDY
 from .oracles import ORACLES as FIRST
@@ -89,16 +88,14 @@ def explained() -> str:
 
 
 USABLE = "has_fix AND trim(coalesce(code_before, '')) <> '' AND trim(coalesce(code_after, '')) <> '' AND length(code_before) + length(code_after) <= 8000 AND trim(code_before) <> trim(code_after)"
-_WINDOWS = ["\n".join(DIFF_LINES[i : i + 3]) for i in range(4)]
-_SIDES = {s: "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {Q('|'.join(types_of(side(w, s))))}" for i, w in enumerate(_WINDOWS)) + " END" for s in "-+"}
 _HEX = "list_reduce(list_transform(string_split(substr(md5(user_id || ':' || event_id % 10), 1, 6), ''), lambda c: (instr('0123456789abcdef', c) - 1)::BIGINT), lambda a, b: a * 16 + b)"
 
 ORACLES: dict[str, str] = {
     "read_strict": f"WITH {LINED} SELECT id, md5(text) AS code_md5, 'weak_hash' AS types FROM lines WHERE kind < 4",
     "read_lenient": f"WITH {LINED} SELECT id, 'docker' AS iac_tool FROM lines WHERE kind < 6",
-    "read_fail_fast": f"WITH {LINED} SELECT id, CASE WHEN kind < 4 THEN false END AS has_fix FROM lines WHERE kind < 4 OR kind = 5",
-    "read_glob": f"WITH {LINED} SELECT id, 'part' || doc_id % 2 AS part FROM lines WHERE kind < 4",
-    "load_counts": f"WITH {LINED}, c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS e FROM lines WHERE kind < 4) SELECT 'part' || i || '.jsonl' AS input, CASE i WHEN 0 THEN n WHEN 1 THEN e ELSE 0 END AS n_loaded, i = 2 AS missing, n + e AS total_loaded, e AS duplicates_removed FROM c, range(3) r(i)",
+    "read_fail_fast": "SELECT 'D-' || doc_id AS id, false AS has_fix FROM documents",
+    "read_glob": "SELECT 'D-' || doc_id AS id, 'part' || doc_id % 2 AS part FROM documents",
+    "load_counts": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS e FROM documents) SELECT 'part' || i || '.jsonl' AS input, CASE i WHEN 0 THEN n WHEN 1 THEN e ELSE 0 END AS n_loaded, i = 2 AS missing, n + e AS total_loaded, e AS duplicates_removed FROM c, range(3) r(i)",
     "read_truth": "SELECT r_regionkey::VARCHAR AS file_id, r_name AS file, 'terraform' AS iac_tool, n_nationkey::VARCHAR AS smell_id, n_name AS type, (n_nationkey % 9)::INTEGER AS line FROM region JOIN nation ON n_regionkey = r_regionkey",
     "read_taxonomy": "SELECT n_nationkey::VARCHAR AS id, 'docker,' || n_name AS tools_csv, true AS named FROM nation",
     "read_scripts": f"SELECT item_id, md5(text || {NL}) AS content_md5 FROM benchmark",
@@ -148,7 +145,12 @@ SELECT doc_id, path NOT LIKE '%.md' AS config, doc_id % 5 NOT IN (1, 4) AS alive
     "explanations": f"WITH {RECORDS} SELECT id, md5({explained()}) AS text_md5 FROM records",
     "cwe_lookup": f"WITH f(cwe, name) AS (VALUES {', '.join(f'({Q(c)}, {Q(n)})' for c, n in CWE_NAMES.items())}), t AS (SELECT 'CWE-' || (n_regionkey + 249) AS cwe, arg_max(n_name, n_nationkey) AS name FROM nation GROUP BY 1), d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'CWE-319' WHEN doc_id % 3 = 0 THEN 'CWE-' || (doc_id % 8 + 247) END AS cwe FROM documents) SELECT doc_id, d.cwe, coalesce(t.name, f.name, '') AS cwe_name FROM d LEFT JOIN t USING (cwe) LEFT JOIN f USING (cwe)",
     "chat_pairs": f"WITH {RECORDS}, u AS (SELECT * FROM records WHERE {USABLE}) SELECT id, 0 AS \"at\", 'user' AS role, md5({messages()} || {NL} || {NL} || '```' || {NL} || code_before || {NL} || '```') AS content_md5 FROM u UNION ALL SELECT id, 1, 'assistant', md5(code_after) FROM u",
-    "diff_smells": f"SELECT doc_id, {_SIDES['-']} AS before, {_SIDES['+']} AS after FROM documents",
+    "diff_smells": f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, {NL}), lambda x, i: CASE i % 3 WHEN 1 THEN '-' WHEN 2 THEN '+' ELSE ' ' END || x) AS ls FROM documents),
+minus AS (SELECT doc_id, array_to_string(list_transform(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')), lambda x: x[2:]), {NL}) AS text FROM l),
+plus AS (SELECT doc_id, array_to_string(list_transform(list_filter(ls, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')), lambda x: x[2:]), {NL}) AS text FROM l),
+b AS (SELECT doc_id, string_agg(type, '|' ORDER BY type) AS before FROM ({classify('minus')}) GROUP BY 1), a AS (SELECT doc_id, string_agg(type, '|' ORDER BY type) AS after FROM ({classify('plus')}) GROUP BY 1)
+SELECT doc_id, coalesce(before, '') AS before, coalesce(after, '') AS after FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)""",
+    "vulnerable_records": f"WITH {KEYED}, {COUNTED}, k AS (SELECT keyed.*, coalesce(n, 0) AS n, {detect('path', 'text')} AS iac_tool FROM keyed LEFT JOIN counted USING (doc_id) WHERE path NOT LIKE '%.md' AND length(text) <= 200000 AND text <> '') SELECT 'KR-' || left(sha256(repo || ':' || path), 12) AS id, iac_tool, n::INTEGER AS n_smells, md5(text) AS before_md5, 'Intentionally vulnerable: about ' || repo AS notes FROM k WHERE iac_tool <> 'unknown'",
     "salvaged": f"""WITH {RECORDS}, counted AS (SELECT doc_id, count(*) AS n FROM ({classify()}) GROUP BY 1), longer AS (SELECT doc_id, text || {NL} || 'fixed' AS text FROM documents), counted2 AS (SELECT doc_id, count(*) AS n2 FROM ({classify('longer')}) GROUP BY 1),
 s AS (SELECT r.id, r.ord, code_before AS text, has_fix, coalesce(n, 0) AS n, coalesce(n2, 0) AS n2, ord % 3 = 0 AND (ord % 7 = 0 OR ord % 2 = 0) AS missing, ord % 7 = 0 AS added FROM records r LEFT JOIN counted c ON c.doc_id = ord LEFT JOIN counted2 d ON d.doc_id = ord)
 SELECT id, CASE WHEN missing AND added THEN 'new_file' WHEN missing THEN 'heuristic' ELSE 'api' END AS code_before_quality, has_fix AND NOT (missing AND added) AS has_fix,

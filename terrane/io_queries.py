@@ -59,13 +59,13 @@ def read_lenient(spark, d):
 
 @query
 def read_fail_fast(spark, d):
-    path = _written(views.record_lines(spark, d).filter("doc_id % 8 < 4 or doc_id % 8 = 5"), "lines")
+    path = _written(views.record_lines(spark, d, 1), "lines")
     return readers.read_records(spark, path, fail_fast=True).select("id", "has_fix")
 
 
 @query
 def read_glob(spark, d):
-    lines, path = views.record_lines(spark, d).filter("doc_id % 8 < 4"), shared_folder(spark, "inputs")
+    lines, path = views.record_lines(spark, d, 1), shared_folder(spark, "inputs")
     for i in range(2):
         _written(lines.filter(f"doc_id % 2 = {i}"), "lines", f"{path}/part{i}.jsonl")
     return readers.read_records(spark, [f"{path}/part*.jsonl"]).select("id", F.regexp_extract("input_file", r"part\d", 0).alias("part"))
@@ -73,7 +73,7 @@ def read_glob(spark, d):
 
 @query
 def load_counts(spark, d):
-    lines, path = views.record_lines(spark, d).filter("doc_id % 8 < 4"), shared_folder(spark, "inputs")
+    lines, path = views.record_lines(spark, d, 1), shared_folder(spark, "inputs")
     for i, rows in enumerate((lines, lines.filter("doc_id % 2 = 0"))):
         _written(rows, "lines", f"{path}/part{i}.jsonl")
     loaded = readers.read_records(spark, [f"{path}/part{i}.jsonl" for i in range(3)])
@@ -200,6 +200,15 @@ def scanner_examples(spark, d):
     return _example(acquisition.scanner_examples(views.examples(spark, d, "scanner"), "org/scanner"))
 
 
+@query
+def vulnerable_records(spark, d):
+    """All files of two of the three kinds of repositories, twice in the listing."""
+    files = views.keyed(spark, d).select("repo", views.paths().alias("path"), F.lit("main").alias("ref"), F.lit("blob").alias("type"), F.length("text").alias("size"), F.col("text").alias("content"))
+    about = views.repositories(spark, d).select("repo", F.concat(F.lit("about "), "repo").alias("repo_description"))
+    found = acquisition.vulnerable_records(files.drop("content").union(files.drop("content")), files.select("repo", "path", "ref", "content"), about)
+    return found.select("id", "iac_tool", F.size("smells").alias("n_smells"), F.md5("code_before").alias("before_md5"), "notes")
+
+
 # --- sinks ---
 
 
@@ -427,15 +436,13 @@ def chat_pairs(spark, d):
     return records(spark, d).filter(corpus.usable()).select("id", F.posexplode(messages).alias("at", "m")).select("id", "at", "m.role", F.md5("m.content").alias("content_md5"))
 
 
-DIFF_LINES = ('-password = "hunter2secret"', "+privileged: true", "-min_tls_version = \"TLS_1_0\"", "--- a/x", "+++ b/x", " encrypted = false")
-
-
 @query
 def diff_smells(spark, d):
-    lines = F.array(*[F.lit(x) for x in DIFF_LINES])
-    diff = F.array_join(F.slice(lines, (F.col("doc_id") % 4 + 1).cast("int"), F.lit(3)), "\n")
-    rows = table(spark, d, "documents").select("doc_id", diff.alias("diff")).withColumn("s", acquisition.diff_smells(F.col("diff")))
-    return rows.select("doc_id", _types(F.col("s.before")).alias("before"), _types(F.col("s.after")).alias("after"))
+    """Every text as a diff whose lines are removed, added and kept in turn."""
+    signed = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, "-").when(i % 3 == 1, "+").otherwise(" "), x)), "\n")
+    rows = table(spark, d, "documents").select("doc_id", signed.alias("diff")).withColumn("s", acquisition.diff_smells(F.col("diff")))
+    told = lambda side: F.array_join(F.array_sort(F.transform(F.col(side), lambda x: x["type"])), "|")
+    return rows.select("doc_id", told("s.before").alias("before"), told("s.after").alias("after"))
 
 
 @query

@@ -62,11 +62,13 @@ def macro_f1(by_type: DataFrame, min_support: int = 0) -> DataFrame:
     return by_type.filter(F.col("tp") + F.col("fn") >= min_support).agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("n_types"))
 
 
-def keyword_scores(queries: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def keyword_scores(queries: DataFrame, taxonomy: DataFrame, most: int = 10_000) -> DataFrame:
     """(query_id, doc_idx, score, relevant): 10 for an equal CWE, 5 for the type in the name, 1 per query word in the description.
 
-    The taxonomy is a dimension of some dozens of rows, so every query meets it in place.
+    The taxonomy is a dimension of some dozens of rows, so every query meets it in place; one of more than ``most`` rows is refused.
     """
+    if taxonomy.limit(most + 1).count() > most:
+        raise ValueError(f"a taxonomy of more than {most} rows is no dimension")
     words = F.filter(F.split(F.lower(F.concat_ws(" ", "type", "cwe")), " "), lambda w: w != "")
     t = taxonomy.select("doc_idx", F.col("cwe").alias("t_cwe"), F.lower("name").alias("t_name"), F.lower("description").alias("t_text"))
     docs = F.broadcast(t.agg(F.collect_list(F.struct(*t.columns)).alias("docs")).withColumn("_k", F.lit(1)))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .pairing import lookup
 
 
-def top_counts(rows: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k most frequent keys; ties by key."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(k)
+def top_counts(rows: DataFrame, by: list[str], k: int, seen: Column | None = None) -> DataFrame:
+    """The k most frequent keys; ties by key, or by the least ``seen``, the place of a row: the key that was seen first."""
+    if seen is None:
+        return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(k)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(seen).alias("_seen")).orderBy(F.desc("n"), "_seen").limit(k).drop("_seen")
 
 
 def first_and_count(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

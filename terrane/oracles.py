@@ -126,7 +126,7 @@ ORACLES: dict[str, str] = {
     "release_outputs": f"WITH {RELEASE} SELECT count(*) AS n_full, count(*) FILTER (tier = 'A') AS gold, count(*) FILTER (tier IN ('A', 'B') AND has_fix) AS fix_pairs, count(*) FILTER (tier IN ('A', 'B', 'C')) AS detection FROM chosen",
     "manifest_counts": f"WITH {RECORDS}, {tier('records')}, named AS (SELECT tier, source, iac_tool, coalesce(code_before_quality, '<missing>') AS code_before_quality FROM tiered) SELECT CASE WHEN tier IS NOT NULL THEN 'tier' WHEN source IS NOT NULL THEN 'source' WHEN iac_tool IS NOT NULL THEN 'iac_tool' ELSE 'code_before_quality' END AS dimension, coalesce(tier, source, iac_tool, code_before_quality) AS key, count(*) AS n FROM named GROUP BY GROUPING SETS ((tier), (source), (iac_tool), (code_before_quality))",
     "labels_array": f"WITH {RECORDS} SELECT id, array_to_string(list_sort(list_distinct(list_concat(smell_types, CASE WHEN rule_before THEN ['R1'] ELSE [] END, [iac_tool]))), '|') AS labels FROM records",
-    "smell_topk": f"WITH {RECORDS} SELECT smell, count(*) AS n FROM (SELECT unnest(smell_types) AS smell FROM records) GROUP BY 1 ORDER BY n DESC, smell LIMIT 25",
+    "smell_topk": f"WITH {RECORDS} SELECT smell, count(*) AS n FROM (SELECT ord, unnest(smell_types) AS smell, unnest(range(len(smell_types))) AS place FROM records) GROUP BY 1 ORDER BY n DESC, min(ord * 100 + place) LIMIT 25",
     "classify_smells": classify(),
     "heuristic_lines": "SELECT doc_id, line, type, cwe FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, " + _BODY + " AS ls FROM documents)) JOIN (VALUES " + ", ".join(f"({i}, {Q('(?i)' + p)}, {Q(t)}, {Q(c)})" for i, (p, t, c) in enumerate(rules.HEURISTICS)) + ") v(i, p, type, cwe) ON regexp_matches(l, p)",
     "text_metrics": f"SELECT doc_id, len(ls)::INTEGER AS line_count, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INTEGER AS token_count, len(list_filter(ls, lambda x: trim(x) = ''))::INTEGER AS blank_lines, len(list_filter(ls, lambda x: starts_with(trim(x), '#') OR starts_with(trim(x), '//') OR starts_with(trim(x), '/*')))::INTEGER AS comment_lines FROM (SELECT doc_id, text, {_BODY} AS ls FROM documents)",
@@ -199,3 +199,8 @@ ORACLES |= {
     "primary_keys": f"WITH {RECORDS} SELECT id, md5('content' || chr(1) || content_hash) AS key_md5 FROM records",
 }
 ORACLES["knn_indexed"] = ORACLES["knn_topk"]
+for _name in ("retrieval_scores", "retrieval_metrics", "context_precision"):
+    _asked = f", q AS (SELECT doc_id * 1000 + idx AS query_id, t.type, t.cwe FROM ({classify()}) c JOIN t ON t.type = c.type), p AS ("
+    ORACLES[_name] = ORACLES[_name].replace(", p AS (", _asked, 1).replace("q.idx AS query_id", "q.query_id").replace("FROM t q, t d", "FROM q, t d")
+ORACLES["date_windows"] = "WITH b AS (SELECT min(ts)::DATE AS a, max(ts)::DATE AS z FROM events), g AS (SELECT a, unnest(generate_series(z::TIMESTAMP, a::TIMESTAMP, INTERVAL (-14) DAY)) AS d FROM b) SELECT greatest(a, (d - INTERVAL 13 DAY)::DATE) AS start, d::DATE AS stop FROM g"
+ORACLES["commit_queries"] = ORACLES["commit_queries"].replace(") SELECT query, min(ord)", " UNION ALL SELECT min(p_partkey) + 4000000, p_type || ' fix' FROM part GROUP BY p_type) SELECT query, min(ord)")

@@ -193,3 +193,16 @@ def scanner_examples(files: DataFrame, repo: str) -> DataFrame:
     rows = once(files.filter(_text("content") != ""), iac_tool=detect_tool(F.col("path"), F.col("content"))).filter("iac_tool <> 'unknown'")
     rows = once(rows, smells=smells_of(F.col("content"))).withColumn("n_smells", F.size("smells"))
     return filters.good_or_bad(rows).select(record_id("KR", F.lit(repo), F.col("path")).alias("id"), F.lit("tfsec").alias("source"), "iac_tool", F.col("path").alias("file_path"), "code_before", "code_after", F.lit(False).alias("has_fix"), "smells", F.lit(repo).alias("repo"), F.concat(F.lit("tfsec/defsec example: "), "path").alias("notes"))
+
+
+def vulnerable_records(tree: DataFrame, contents: DataFrame, about: DataFrame) -> DataFrame:
+    """Detection records of repositories that are vulnerable on purpose: every configuration file of a known kind, with or without a smell.
+
+    ``tree`` lists files (repo, ref, type, path, size), ``contents`` holds (repo, path, ref, content), ``about`` (repo, repo_description). A path counts once a repository.
+    """
+    files = tree.filter((F.col("type") == "blob") & is_config_path(F.col("path")) & (F.coalesce("size", F.lit(0)) <= filters.MAX_FILE))
+    rows = _at(files.select("repo", "path", "ref").dropDuplicates(["repo", "path"]), contents, "code_before", "path", "ref").filter(_text("code_before") != "")
+    rows = once(once(rows, iac_tool=detect_tool(F.col("path"), F.col("code_before"))).filter("iac_tool <> 'unknown'"), smells=smells_of(F.col("code_before")))
+    rows = pairing.lookup(rows, about.select("repo", "repo_description"), "repo")
+    note = F.concat(F.lit("Intentionally vulnerable: "), F.coalesce("repo_description", F.lit("")))
+    return rows.select(record_id("KR", F.col("repo"), F.col("path")).alias("id"), F.lit("known_repo").alias("source"), "iac_tool", F.col("path").alias("file_path"), "code_before", F.lit(None).cast("string").alias("code_after"), F.lit(False).alias("has_fix"), "smells", "repo", "repo_description", note.alias("notes"))

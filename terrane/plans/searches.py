@@ -26,8 +26,8 @@ SCANNERS = ("checkov", "tfsec", "kics", "terrascan", "snyk", "prowler", "trivy",
 PREFIXES = ("CKV_AWS_", "CKV_K8S_", "CKV_DOCKER_", "AVD-AWS-", "AVD-KSV-", "AVD-DS-", "KICS-")
 
 
-def commit_queries(spark: SparkSession) -> DataFrame:
-    """(ord, query): products of the vocabulary in order, distinct by first appearance."""
+def commit_queries(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(ord, query): products of the vocabulary in order, distinct by first appearance. ``more`` (ord, word) adds words of one's own after it."""
 
     def words(name: str, values: tuple[str, ...]) -> DataFrame:
         return spark.createDataFrame(list(enumerate(values)), f"i_{name} long, {name} string").coalesce(1)
@@ -39,6 +39,8 @@ def commit_queries(spark: SparkSession) -> DataFrame:
     by_scanner = scanner.select("i_scanner", forms.alias("p", "query")).select((F.col("i_scanner") * 3 + F.col("p") + 2_000_000).alias("ord"), "query")
     by_prefix = prefix.select((F.col("i_prefix") + 3_000_000).alias("ord"), F.concat("prefix", F.lit(" fix")).alias("query"))
     every = core.union(by_cwe).union(by_scanner).union(by_prefix)
+    if more is not None:
+        every = every.union(more.select((F.col("ord") + 4_000_000).alias("ord"), F.concat("word", F.lit(" fix")).alias("query")))
     return every.groupBy("query").agg(F.min("ord").alias("ord"))
 
 

@@ -95,7 +95,7 @@ def labels_array(spark, d):
 
 @query
 def smell_topk(spark, d):
-    return summaries.top_counts(records(spark, d).select(F.explode("smell_types").alias("smell")), ["smell"], 25)
+    return summaries.top_counts(records(spark, d).select("ord", F.posexplode("smell_types").alias("at", "smell")), ["smell"], 25, F.struct("ord", "at"))
 
 
 @query
@@ -196,20 +196,22 @@ def macro_f1(spark, d):
     return evaluation.macro_f1(detection_by_group(spark, d))
 
 
-def _taxonomy_scores(spark):
+def _taxonomy_scores(spark, d):
+    """Every smell found in a text asks the taxonomy."""
     rows = spark.createDataFrame([(i, n, c) for i, (n, c, *_) in enumerate(rules.TAXONOMY)], "idx long, type string, cwe string")
     docs = rows.select(F.col("idx").alias("doc_idx"), "cwe", F.replace("type", F.lit("_"), F.lit(" ")).alias("name"), F.concat_ws(" ", "type", "cwe").alias("description"))
-    return evaluation.keyword_scores(rows.select(F.col("idx").alias("query_id"), "type", "cwe"), docs)
+    asked = classify_smells(spark, d).select("doc_id", "type").join(F.broadcast(rows), "type")
+    return evaluation.keyword_scores(asked.select((F.col("doc_id") * 1000 + F.col("idx")).alias("query_id"), "type", "cwe"), docs)
 
 
 @query
 def retrieval_scores(spark, d):
-    return _taxonomy_scores(spark).filter("score > 0").drop("relevant")
+    return _taxonomy_scores(spark, d).filter("score > 0").drop("relevant")
 
 
 @query
 def retrieval_metrics(spark, d):
-    return evaluation.retrieval_metrics(_taxonomy_scores(spark))
+    return evaluation.retrieval_metrics(_taxonomy_scores(spark, d))
 
 
 @query
@@ -264,7 +266,10 @@ def query_product(spark, d):
 
 @query
 def date_windows(spark, d):
-    return searches.date_windows(spark, "2023-01-01", "2024-01-30")
+    """Windows back from the last event to the first."""
+    first, last = table(spark, d, "events").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    windows = searches.date_windows(spark, str(first or "2024-01-01"), str(last or "2024-01-01"))
+    return windows if first else windows.limit(0)
 
 
 @query
@@ -336,7 +341,7 @@ def account_halves(spark, d):
 @query
 def context_precision(spark, d):
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_idx")))
-    found = summaries.context_precision(_taxonomy_scores(spark).withColumn("rank", rank), 5)
+    found = summaries.context_precision(_taxonomy_scores(spark, d).withColumn("rank", rank), 5)
     return found.select("query_id", F.round("context_precision", 9).alias("context_precision"))
 
 
@@ -388,7 +393,9 @@ def ordered_unique(spark, d):
 
 @query
 def commit_queries(spark, d):
-    return searches.commit_queries(spark)
+    """The vocabulary, and after it the types of parts as words of one's own, in the order of their first part."""
+    words = filters.ordered_unique(table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey")
+    return searches.commit_queries(spark, words.select(F.col("p_partkey").alias("ord"), F.col("p_type").alias("word")))
 
 
 @query
