@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 START, END, ESC = "<|im_start|>", "<|im_end|>\n", "\x1b"
 #: Control strings of common chat templates; none is left whole inside a text.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|user|>", "<|assistant|>", "<|system|>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "<start_of_turn>", "<end_of_turn>")
-BATCH_TURNS = 2000
 
 
 def escape(text: str, level: int = 0) -> str:

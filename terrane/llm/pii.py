@@ -39,7 +39,6 @@ SEEDED, PRIOR_NONE, SHAPE, CHAIN, SKIP, SIMILAR = 8.0, 1.5, 1.2, 0.15, 4.0, 1.2
 ROUNDS, BELIEF = 8, 0.6
 #: Least length of a form that carries a label from one place to another.
 MIN_FORM = 5
-BATCH_DOCS = 1000
 
 
 def _luhn(digits: str) -> bool:
