@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
     "read_truth": "SELECT r_regionkey::VARCHAR AS file_id, r_name AS file, 'terraform' AS iac_tool, n_nationkey::VARCHAR AS smell_id, n_name AS type, (n_nationkey % 9)::INTEGER AS line FROM region JOIN nation ON n_regionkey = r_regionkey",
     "read_taxonomy": "SELECT n_nationkey::VARCHAR AS id, 'docker,' || n_name AS tools_csv, true AS named FROM nation",
     "read_scripts": f"SELECT item_id, md5(text || {NL}) AS content_md5 FROM benchmark",
-    "read_recorded": f"WITH {KEYED} SELECT (doc_id % 20)::INTEGER AS page, repo, sha, path FROM keyed",
+    "read_recorded": f"WITH {KEYED} SELECT (doc_id // 100)::INTEGER AS page, repo, sha, path FROM keyed",
     "read_event_dump": f"WITH {KEYED} SELECT repo, unnest([sha, parent]) AS sha FROM keyed WHERE doc_id % 4 <> 3 AND doc_id % 3 <> 1",
     "scanner_findings": """WITH d AS (SELECT doc_id FROM documents),
 checkov AS (SELECT doc_id, 'checkov' AS scanner, 'CKV_' || doc_id % 30 AS rule_id, CASE WHEN doc_id % 3 > 0 THEN 'HIGH' END AS severity, CASE WHEN doc_id % 2 = 0 THEN 'CWE-' || doc_id % 9 END AS cwe, (doc_id % 50)::INTEGER AS line, 200 AS message_chars FROM d WHERE doc_id % 4 <> 3),
@@ -141,7 +141,7 @@ SELECT doc_id, path NOT LIKE '%.md' AS config, doc_id % 5 NOT IN (1, 4) AS alive
     "normalised_smells": f"WITH {RECORDS}, fresh AS (SELECT ord AS doc_id, coalesce(code_after, '') AS text FROM records WHERE diff IS NOT NULL), hits AS (SELECT doc_id, count(*) AS n, flatten(list([type, cwe, severity])) AS told FROM ({classify('fresh')}) GROUP BY 1) SELECT id, (n_smells + coalesce(n, 0))::INTEGER AS n_smells, array_to_string(list_sort(list_distinct(list_concat(smell_types, coalesce(told, []), [iac_tool]))), '|') AS labels FROM records LEFT JOIN hits ON doc_id = ord",
     "dedupe_smells": "SELECT doc_id, (CASE WHEN doc_id % 2 = doc_id % 3 THEN 3 ELSE 4 END)::INTEGER AS n, (CASE WHEN doc_id % 2 = doc_id % 3 THEN 2 ELSE 3 END)::INTEGER AS n_analyzer FROM documents",
     "base64_contents": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
-    "parsed_responses": f"SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN '--- a/x' || {NL} || '+++ b/x' || {NL} || '+' || doc_id ELSE 'no diff' END AS patch FROM documents",
+    "parsed_responses": f"SELECT doc_id, md5(CASE WHEN doc_id % 4 < 3 THEN '--- a/x' || {NL} || '+++ b/x' || {NL} || '+' || replace(replace(text, '`', ''), {NL}, {NL} || '+') || {NL} || '+end' ELSE 'no diff' END) AS patch_md5 FROM documents",
     "explanations": f"WITH {RECORDS} SELECT id, md5({explained()}) AS text_md5 FROM records",
     "cwe_lookup": f"WITH f(cwe, name) AS (VALUES {', '.join(f'({Q(c)}, {Q(n)})' for c, n in CWE_NAMES.items())}), t AS (SELECT 'CWE-' || (n_regionkey + 249) AS cwe, arg_max(n_name, n_nationkey) AS name FROM nation GROUP BY 1), d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'CWE-319' WHEN doc_id % 3 = 0 THEN 'CWE-' || (doc_id % 8 + 247) END AS cwe FROM documents) SELECT doc_id, d.cwe, coalesce(t.name, f.name, '') AS cwe_name FROM d LEFT JOIN t USING (cwe) LEFT JOIN f USING (cwe)",
     "chat_pairs": f"WITH {RECORDS}, u AS (SELECT * FROM records WHERE {USABLE}) SELECT id, 0 AS \"at\", 'user' AS role, md5({messages()} || {NL} || {NL} || '```' || {NL} || code_before || {NL} || '```') AS content_md5 FROM u UNION ALL SELECT id, 1, 'assistant', md5(code_after) FROM u",

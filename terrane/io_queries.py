@@ -106,8 +106,8 @@ def read_scripts(spark, d):
 
 @query
 def read_recorded(spark, d):
-    """Pages of answers, as a recorder leaves them: one file a page."""
-    items = views.commits(spark, d).withColumn("page", (F.col("doc_id") % 20).cast("int"))
+    """Pages of answers, as a recorder leaves them: one file a page of a hundred items."""
+    items = views.commits(spark, d).withColumn("page", F.floor(F.col("doc_id") / 100).cast("int"))
     item = F.struct("repo", "sha", "parents", "commit", "files")
     page = F.to_json(F.struct(F.lit("q").alias("unit"), "page", F.collect_list(item).alias("items")))
     path = shared_folder(spark, "pages")
@@ -410,10 +410,10 @@ def base64_contents(spark, d):
 
 @query
 def parsed_responses(spark, d):
-    diff = F.concat(F.lit("--- a/x\n+++ b/x\n+"), F.col("doc_id").cast("string"))
+    diff = F.concat(F.lit("--- a/x\n+++ b/x\n+"), F.regexp_replace(F.translate("text", "`", ""), "\n", "\n+"), F.lit("\n+end"))
     n = F.col("doc_id") % 4
     raw = F.when(n == 0, diff).when(n == 1, F.concat(F.lit("Here:\n```diff\n"), diff, F.lit("\n```\nDone"))).when(n == 2, F.concat(F.lit("```\nnote\n"), diff, F.lit("\n```"))).otherwise("  no diff ")
-    return table(spark, d, "documents").select("doc_id", text.parse_response(raw).alias("patch"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.parse_response(raw)).alias("patch_md5"))
 
 
 @query
