@@ -174,6 +174,7 @@ SELECT id, CASE WHEN missing AND added THEN 'new_file' WHEN missing THEN 'heuris
     "validated_files": FIRST["validation_stats"],
     "load_order": "SELECT arg_min('D-' || doc_id, (doc_id % 37 <> 0, doc_id)) AS id, sha256(text) AS content_hash FROM documents GROUP BY 2",
     "read_planned": f"WITH {KEYED}, s AS (SELECT lang, ceil(count(*) / 100.0)::BIGINT AS n FROM documents GROUP BY 1), p AS (SELECT lang AS unit, (doc_id % n)::INTEGER AS page, sha FROM keyed JOIN s USING (lang)), w AS (SELECT * FROM p WHERE unit <> 'en' AND page >= 1) SELECT unit, page, sha, (SELECT count(DISTINCT (unit, page)) FROM w)::INTEGER AS pages_read, (SELECT count(DISTINCT (unit, page)) FROM p)::INTEGER AS pages FROM w",
+    "planned_records": f"WITH {COMMITS} SELECT id, iac_tool, code_before_quality FROM commits WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING min(doc_id) % 2 <> 0)",
     "stream_recorded": f"WITH {KEYED}, s AS (SELECT lang, ceil(count(*) / 100.0)::BIGINT AS n FROM documents GROUP BY 1) SELECT lang AS unit, (doc_id % n)::INTEGER AS page, sha FROM keyed JOIN s USING (lang)",
     "resume_bucketed": FIRST["resume_anti_join"],
     "version_pairs_bucketed": FIRST["version_pairs"],

@@ -308,6 +308,19 @@ def read_planned(spark, d):
     return wanted.select("unit", "page", F.get_json_object("item", "$.sha").alias("sha"), F.lit(n_read).alias("pages_read"), F.lit(n_all).alias("pages"))
 
 
+@query
+def planned_records(spark, d):
+    """Records of the units that progress marks leave: a unit is done if its first document has an even number. Pages of done units are never opened."""
+    connector.register(spark)
+    marks = table(spark, d, "documents").groupBy(F.col("lang").alias("unit")).agg(F.max("doc_id").alias("last_page"), (F.min("doc_id") % 2 == 0).alias("done"))
+    done = [r.unit for r in marks.filter("done").select("unit").collect()]  # units: one for each search
+    pages = spark.read.format("recorded").option("path", _pages(spark, d)).load()
+    left = pages.filter(~F.col("unit").isin(done)) if done else pages
+    commits = left.select(F.from_json("item", schemas.COMMIT).alias("i")).select("i.*")
+    found = acquisition.commit_records(commits, views.contents(spark, d), views.repositories(spark, d))
+    return found.select("id", "iac_tool", "code_before_quality")
+
+
 @query
 def stream_recorded(spark, d):
     """A stream over recorded pages that stops and goes on from its marks: each page is taken once."""

@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta, timezone
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from terrane.streaming import stateful
@@ -36,6 +38,31 @@ def test_copies_are_known_after_a_restart(spark, tmp_path):
     assert "RocksDB" not in provider
 
 
+def test_a_run_that_fails_half_way_is_taken_up_again(spark, tmp_path):
+    """The first run breaks off after the rows of its first file; the next one yields the rest, and nothing twice."""
+    flag = tmp_path / "broken"
+    flag.write_text("")
+    for i, keys in enumerate(("ab", "bc", "cd")):
+        spark.createDataFrame([(k, at(i)) for k in keys], "key string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+
+    def breaking(batches):
+        for rows in batches:
+            if flag.exists() and "d" in set(rows["key"]):
+                raise RuntimeError("torn")
+            yield rows
+
+    def run():
+        landed = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/landed")
+        stateful.run_available(stateful.first_seen(landed.mapInPandas(breaking, landed.schema), ["key"], "ts", "2 days").select("key"), f"{tmp_path}/results", f"{tmp_path}/checkpoint")
+        return sorted(r.key for r in spark.read.schema("key string").parquet(f"{tmp_path}/results").collect())
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert sorted(r.key for r in spark.read.schema("key string").parquet(f"{tmp_path}/results").collect()) == ["a", "b", "c"]
+    flag.unlink()
+    assert run() == ["a", "b", "c", "d"] and run() == ["a", "b", "c", "d"]
+
+
 def test_alarms_need_no_next_row_and_wait_for_late_ones(spark, tmp_path):
     rows = lambda *said: [(u, at(m)) for u, m in said]
     parts = [
