@@ -7,7 +7,7 @@ and licence lines recur in articles: only branches go that differ in kind from r
 a container (never a heading, paragraph, quote, item, cell or part of a line), and
 
 * consists of links and controls (``LINKED`` of its text or more), inside a declared article as well as outside, or
-* lies outside the declared article of a page that declares one.
+* lies outside a declared article and outside the flow of text: its parent holds no paragraph, heading, quote or preformatted text of its own.
 
 Pages of a host that say the same count once, so copies of a page don't make it noise. Elements that markup itself declares as no content (menus, footers, adverts, forms, scripts,
 comments, ...) go whatever their entropy; all else is kept, in an <article> or not. A class, id or role declares only by a whole token
@@ -55,6 +55,8 @@ OUTER_WORDS = frozenset("nav navbar navigation menu menubar footer header breadc
 FRAME = frozenset("html body article main".split())
 #: Elements that may go for their importance: containers, never running text or parts of it.
 CONTAINERS = frozenset("div section ul ol dl table center details nav menu".split())
+#: Elements of running text: what holds one of them directly is in the flow of text.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Elements whose text counts as links and controls.
 LINKS = frozenset("a button option".split())
 #: Share of the contents in a node's importance; threshold; share of a host's pages that hold a node which is judged; share of links in what is no text.
@@ -102,10 +104,10 @@ def _declares(tokens: list[list[str]], names: frozenset[str]) -> bool:
 
 
 class _Walk:
-    """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article, within which a header is content)."""
+    """One pass over a page with a stack of open elements: (tag, style path, is noise, is in article, within which a header is content, number)."""
 
-    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False, cleared: frozenset[int] = frozenset(), outer: frozenset[int] = frozenset()):
-        self.stack: list[tuple[str, str, bool, bool]] = []
+    def __init__(self, page: str, low: frozenset[int] = frozenset(), tree: bool = False, cleared: frozenset[int] = frozenset(), outer: frozenset[int] = frozenset(), flow: frozenset[int] = frozenset()):
+        self.stack: list[tuple[str, str, bool, bool, int]] = []
         self.blocks: list[str] = []
         self.whole = xxhash.xxh64()  # of all text of the page
         self.nodes: dict[str, xxhash.xxh64] = {}  # style path -> digest of all text in its branches
@@ -113,7 +115,9 @@ class _Walk:
         self.children: dict[str, list[str]] = {}  # style path -> child tags
         self.chars: dict[str, list[int]] = {}  # style path -> characters in its branches, those of links among them
         self.low = low  # unimportant paths of links and controls
-        self.outer = outer  # other unimportant paths, which go outside a declared article
+        self.outer = outer  # other unimportant paths, which go outside a declared article and the flow of text
+        self.flowing = flow  # numbers of elements that hold running text themselves, known from a pass before
+        self.flow: set[int] = set()  # such elements of this pass; 0 is the page itself
         self.cleared = cleared  # numbers of elements that class words don't condemn
         self.number = self.articles = 0  # elements and articles so far
         self.held: dict[int, int] = {}  # element that a class word condemns -> articles within
@@ -133,8 +137,8 @@ class _Walk:
         noise = bool(self.stack) and self.stack[-1][2]
         if self.tree and (said := " ".join(value.split())):
             self.whole.update(f"{said}\n")
-            linked = len(said) if any(tag in LINKS for tag, _, _, _ in self.stack) else 0
-            for _, open_path, _, _ in self.stack:
+            linked = len(said) if any(tag in LINKS for tag, *_ in self.stack) else 0
+            for _, open_path, *_ in self.stack:
                 self.nodes.setdefault(open_path, xxhash.xxh64()).update(f"{said}\n")
                 chars = self.chars.setdefault(open_path, [0, 0])
                 chars[0] += len(said)
@@ -158,7 +162,9 @@ class _Walk:
             self.imply(tag)
         if tag in VOID or attributes.endswith("/"):
             return
-        _, path, noise, article = self.stack[-1] if self.stack else ("", "", False, False)
+        _, path, noise, article, parent = self.stack[-1] if self.stack else ("", "", False, False, 0)
+        if tag in FLOW:
+            self.flow.add(parent)
         tokens = _tokens(attributes)
         if self.tree:
             self.children.setdefault(path, []).append(tag)
@@ -181,8 +187,8 @@ class _Walk:
         repeated = False
         if tag in CONTAINERS and (self.low or self.outer):
             node = xxhash.xxh64_intdigest(path)
-            repeated = node in self.low or (node in self.outer and not article)
-        self.stack.append((tag, path, noise or declared or repeated, article))
+            repeated = node in self.low or (node in self.outer and not article and parent not in self.flowing)
+        self.stack.append((tag, path, noise or declared or repeated, article, self.number))
 
     def imply(self, tag: str) -> None:
         """Elements that a start tag closes by the rules of the language."""
@@ -207,11 +213,10 @@ class _Walk:
 
 
 def main_text(page: str, low: frozenset[int] = frozenset(), outer: frozenset[int] = frozenset()) -> str:
-    """All blocks that neither markup nor their importance makes noise. ``low``: hashes of unimportant style paths of links; ``outer``: of others, for pages that declare an article."""
+    """All blocks that neither markup nor their importance makes noise. ``low``: hashes of unimportant style paths of links; ``outer``: of others."""
     walk = _Walk(page, low)
     frames = frozenset(x for x, n in walk.held.items() if x in walk.mains or (n and n == walk.articles))
-    outside = outer if walk.articles else frozenset()
-    return "\n".join((_Walk(page, low, cleared=frames, outer=outside) if frames or outside else walk).blocks)
+    return "\n".join((_Walk(page, low, cleared=frames, outer=outer, flow=frozenset(walk.flow)) if frames or outer else walk).blocks)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,9 +32,11 @@ def test_recurring_links_go_inside_and_outside_articles(spark, n):
     assert extracted(spark, [page(i) for i in range(n)]) == [f"Story {i} of its own" for i in range(n)]
 
 
-def test_recurring_text_of_pages_without_an_article_stays(spark):
-    page = lambda i: f"<html><body><div class='story'><p>Story {i} of its own</p></div><div class='hint'><p>Read the same words again</p></div></body></html>"
-    assert extracted(spark, [page(i) for i in range(12)]) == [f"Story {i} of its own\nRead the same words again" for i in range(12)]
+def test_recurring_text_in_the_flow_of_pages_without_an_article_stays(spark):
+    page = lambda i: f"<html><body><div class='box'><p>The same everywhere</p></div><div class='story'><h2>Summary</h2><p>Story {i} of its own</p><div class='hint'><p>Read the same words again</p></div></div></body></html>"
+    assert extracted(spark, [page(i) for i in range(12)]) == [f"Summary\nStory {i} of its own\nRead the same words again" for i in range(12)]
+    flat = lambda i: f"<html><body><p>Story {i} of its own</p><div class='hint'><p>Read the same words again</p></div></body></html>"
+    assert extracted(spark, [flat(i) for i in range(12)]) == [f"Story {i} of its own\nRead the same words again" for i in range(12)]
 
 
 def test_what_few_of_many_pages_share_is_left(spark):
