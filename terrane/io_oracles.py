@@ -136,10 +136,10 @@ SELECT doc_id, path NOT LIKE '%.md' AS config, doc_id % 5 NOT IN (1, 4) AS alive
   CASE WHEN path LIKE '%.tf' THEN 'terraform' WHEN path LIKE '%/Dockerfile' THEN 'docker' WHEN yaml AND v5 AND k5 THEN 'kubernetes' WHEN yaml AND h5 THEN 'ansible' WHEN yaml THEN 'kubernetes' ELSE 'unknown' END AS guessed,
   CASE WHEN path LIKE '%.tf' THEN 'Terraform' WHEN path LIKE '%/Dockerfile' THEN 'Dockerfile' WHEN yaml AND v3 THEN 'Kubernetes' WHEN yaml AND h3 THEN 'Ansible' WHEN yaml THEN 'Kubernetes' ELSE 'Terraform' END AS platform FROM y""",
     "tree_files": f"WITH {KEYED} SELECT path FROM keyed WHERE doc_id % 9 > 0 AND path NOT LIKE '%.md' AND path LIKE '%m%' AND (doc_id % 7 = 0 OR length(text) * 100 <= 200000)",
-    "example_sides": "SELECT doc_id AS ord, CASE doc_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE CASE WHEN doc_id % 3 > 0 THEN 'positive' ELSE 'negative' END END AS side FROM documents",
+    "example_sides": f"WITH {COUNTED} SELECT doc_id AS ord, CASE WHEN doc_id % 4 = 0 THEN 'positive' WHEN doc_id % 4 = 1 THEN 'negative' WHEN coalesce(n, 0) > 0 THEN 'positive' ELSE 'negative' END AS side FROM documents LEFT JOIN counted USING (doc_id)",
     "security_messages": f"SELECT doc_id, regexp_matches(text, {Q(SECURITY_MESSAGE)}) AS security, {any_of('lower(text)', CODE_WORDS)} AS describes_code FROM documents",
     "normalised_smells": f"WITH {RECORDS}, fresh AS (SELECT ord AS doc_id, coalesce(code_after, '') AS text FROM records WHERE diff IS NOT NULL), hits AS (SELECT doc_id, count(*) AS n, flatten(list([type, cwe, severity])) AS told FROM ({classify('fresh')}) GROUP BY 1) SELECT id, (n_smells + coalesce(n, 0))::INTEGER AS n_smells, array_to_string(list_sort(list_distinct(list_concat(smell_types, coalesce(told, []), [iac_tool]))), '|') AS labels FROM records LEFT JOIN hits ON doc_id = ord",
-    "dedupe_smells": "SELECT doc_id, (CASE WHEN doc_id % 2 = doc_id % 3 THEN 3 ELSE 4 END)::INTEGER AS n, (CASE WHEN doc_id % 2 = doc_id % 3 THEN 2 ELSE 3 END)::INTEGER AS n_analyzer FROM documents",
+    "dedupe_smells": f"SELECT doc_id, len(list_distinct(list_transform(string_split(text, {NL}), lambda x, i: left(x, 2) || '|' || (i - 1) % 2)))::INTEGER AS n, len(list_distinct(list_transform(string_split(text, {NL}), lambda x, i: left(x, 2) || '|' || (i - 1) % 3)))::INTEGER AS n_analyzer FROM documents",
     "base64_contents": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "parsed_responses": f"SELECT doc_id, md5(CASE WHEN doc_id % 4 < 3 THEN '--- a/x' || {NL} || '+++ b/x' || {NL} || '+' || replace(replace(text, '`', ''), {NL}, {NL} || '+') || {NL} || '+end' ELSE 'no diff' END) AS patch_md5 FROM documents",
     "explanations": f"WITH {RECORDS} SELECT id, md5({explained()}) AS text_md5 FROM records",
@@ -156,12 +156,11 @@ s AS (SELECT r.id, r.ord, code_before AS text, has_fix, coalesce(n, 0) AS n, coa
 SELECT id, CASE WHEN missing AND added THEN 'new_file' WHEN missing THEN 'heuristic' ELSE 'api' END AS code_before_quality, has_fix AND NOT (missing AND added) AS has_fix,
   (CASE WHEN missing AND added THEN n2 WHEN NOT added AND ord % 2 = 0 THEN {IN_PATCH} WHEN ord % 3 = 0 THEN {len(types_of('# ' + PLACEHOLDER))} ELSE n END)::INTEGER AS smells_added,
   md5(CASE WHEN missing AND added THEN '' WHEN missing THEN {UNDONE} WHEN ord % 3 = 0 THEN {Q('# ' + PLACEHOLDER)} ELSE text END) AS before_md5 FROM s""",
-    "salvage_stats": "SELECT count(*) AS total, count(*) FILTER (doc_id % 4 = 0) AS exact, count(*) FILTER (doc_id % 4 = 1) AS partial, count(*) FILTER (doc_id % 4 = 2) AS unrecoverable, sum(greatest(doc_id % 5 - 1, 0))::BIGINT AS smells_added FROM documents",
     "patch_round_trip": f"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, {NL}), lambda x, i: CASE WHEN (i - 1) % 5 = 1 THEN x || ' changed' ELSE x END), {NL}) || {NL} || 'fixed' || {NL}) AS applied_md5, md5(text) AS undone_md5 FROM documents",
     "smells_table_function": f"SELECT doc_id, type FROM ({classify()})",
     "scanner_counts": f"WITH {RECORDS} SELECT * FROM (SELECT unnest(['checkov', 'tfsec']) AS scanner, unnest([count(*) FILTER (rule_before), count(*) FILTER (ord % 3 = 0)]) AS n FROM records) WHERE n > 0",
     "validated_counts": f"WITH {RECORDS} SELECT count(*) FILTER (rule_before OR ord % 3 = 0) AS validated_records, count(*) FILTER (rule_before AND NOT rule_after) AS scanner_confirmed_fixes FROM records",
-    "scan_totals": "SELECT lang AS check_type, sum(doc_id % 10)::BIGINT AS passed, sum(doc_id % 3)::BIGINT AS failed FROM documents GROUP BY 1",
+    "scan_totals": f"WITH {COUNTED} SELECT lang AS check_type, sum({len({name for name, _ in rules.RULES})} - coalesce(n, 0))::BIGINT AS passed, sum(coalesce(n, 0))::BIGINT AS failed FROM documents LEFT JOIN counted USING (doc_id) GROUP BY 1",
     "run_statistics": "SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd_sample, round(stddev_pop(value), 6) AS sd_population FROM events GROUP BY 1",
     "repository_lookup": f"WITH {KEYED}, r AS (SELECT repo, count(*)::INTEGER AS repo_stars, 'd' AS repo_description FROM keyed GROUP BY 1 HAVING count(*) > 2) SELECT doc_id, repo, repo_stars, repo_description FROM keyed LEFT JOIN r USING (repo)",
     "ordered_records": f"WITH {RECORDS} SELECT id, row_number() OVER (ORDER BY coalesce(source, ''), id) - 1 AS position FROM records",
@@ -179,3 +178,4 @@ SELECT id, CASE WHEN missing AND added THEN 'new_file' WHEN missing THEN 'heuris
     "resume_bucketed": FIRST["resume_anti_join"],
     "version_pairs_bucketed": FIRST["version_pairs"],
 }
+ORACLES["salvage_stats"] = f"SELECT count(*) AS total, count(*) FILTER (code_before_quality = 'exact') AS exact, count(*) FILTER (code_before_quality = 'partial') AS partial, count(*) FILTER (code_before_quality = 'unavailable') AS unrecoverable, sum(greatest(smells_added, 0))::BIGINT AS smells_added FROM ({ORACLES['salvaged']})"

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import patches, table_functions, text, tools
+from .functions import patches, rules, table_functions, text, tools
+from .functions.rules import smells as smells_of
 from .operators import evaluation, filters, pairing, summaries
 from .operators import records as rec
 from .plans import acquisition, corpus
@@ -394,7 +395,7 @@ def tree_files(spark, d):
 @query
 def example_sides(spark, d):
     e = views.examples(spark, d, "query")
-    return e.select("ord", filters.example_side(F.col("path"), (F.col("ord") % 3).cast("int")).alias("side"))
+    return e.select("ord", filters.example_side(F.col("path"), F.size(smells_of(F.col("content")))).alias("side"))
 
 
 @query
@@ -409,10 +410,10 @@ def normalised_smells(spark, d):
 
 @query
 def dedupe_smells(spark, d):
-    n = F.col("doc_id")
-    smell = lambda t, c, k: F.struct(F.lit(t).alias("type"), c.alias("cwe"), F.lit(None).cast("string").alias("checkov_id"), k.cast("int").alias("line_number"), F.lit("r").alias("resource"), F.lit("k").alias("checker_id"), k.cast("int").alias("line"))
+    """Every line stands for a smell: its first letters are the type, its parity the line number."""
     none = F.lit(None).cast("string")
-    smells = F.array(smell("a", none, n % 2), smell("a", none, n % 3), smell("a", F.lit("x"), n % 2), smell("b", none, n % 2))
+    line = lambda x, i: F.struct(F.left(x, F.lit(2)).alias("type"), none.alias("cwe"), none.alias("checkov_id"), (i % 2).alias("line_number"), F.lit("r").alias("resource"), F.left(x, F.lit(1)).alias("checker_id"), (i % 3).alias("line"))
+    smells = F.transform(F.split("text", "\n"), line)
     return table(spark, d, "documents").select("doc_id", F.size(rec.dedupe_array(smells, rec.SAME_SMELL)).alias("n"), F.size(rec.dedupe_array(smells, ["checker_id", "type", "line", "resource"])).alias("n_analyzer"))
 
 
@@ -458,17 +459,20 @@ def diff_smells(spark, d):
     return rows.select("doc_id", told("s.before").alias("before"), told("s.after").alias("after"))
 
 
-@query
-def salvaged(spark, d):
+def _salvaged(spark, d) -> DataFrame:
     n = F.col("ord")
     rows = records(spark, d).withColumns({"diff": F.when(n % 7 == 0, "@@ -0,0 +1,2 @@").when(n % 2 == 0, views.PATCH), "code_before": F.when(n % 3 == 0, f"# {text.PLACEHOLDER}").otherwise(F.col("code_before")), "code_after": F.concat("code_before", F.lit("\nfixed")), "code_before_quality": F.lit(None).cast("string")})
-    return corpus.salvage(rows).select("id", "code_before_quality", "has_fix", "smells_added", F.md5("code_before").alias("before_md5"))
+    return corpus.salvage(rows)
+
+
+@query
+def salvaged(spark, d):
+    return _salvaged(spark, d).select("id", "code_before_quality", "has_fix", "smells_added", F.md5("code_before").alias("before_md5"))
 
 
 @query
 def salvage_stats(spark, d):
-    quality = F.when(F.col("doc_id") % 4 == 0, "exact").when(F.col("doc_id") % 4 == 1, "partial").when(F.col("doc_id") % 4 == 2, "unavailable").otherwise("api")
-    return summaries.salvage_stats(table(spark, d, "documents").select(quality.alias("code_before_quality"), (F.col("doc_id") % 5 - 1).alias("smells_added")))
+    return summaries.salvage_stats(_salvaged(spark, d))
 
 
 @query
@@ -518,7 +522,11 @@ def validated_counts(spark, d):
 
 @query
 def scan_totals(spark, d):
-    return summaries.scan_totals(table(spark, d, "documents").select(F.col("lang").alias("check_type"), F.struct((F.col("doc_id") % 10).alias("passed"), (F.col("doc_id") % 3).alias("failed")).alias("summary")))
+    """Each text is a scan: the smells it has are the checks it fails, all others it passes."""
+    failed = F.size(smells_of(F.col("text"))).cast("long")
+    kinds = len({name for name, _ in rules.RULES})
+    scans = rec.once(table(spark, d, "documents").select(F.col("lang").alias("check_type"), "text"), failed=failed)
+    return summaries.scan_totals(scans.select("check_type", F.struct((F.lit(kinds) - F.col("failed")).alias("passed"), "failed").alias("summary")))
 
 
 @query
