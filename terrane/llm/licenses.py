@@ -6,7 +6,7 @@ the whole text and, where a document holds any of the marks that every known tex
 All of it is DataFrame code.
 
 Defined cases: a null text is empty and matches nothing; an empty canonical form matches nothing; repeated rows get equal
-rows; a null ``doc_id`` is an id like any other; extra columns are ignored; a table of known texts may be passed instead of the built-in one.
+rows; a null ``doc_id`` is an id like any other; extra columns are ignored; an empty table gives an empty result; a table of known texts may be passed instead of the built-in one.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Equal texts are one node from the start, so copies are never paired.
 
 Defined cases: words are lower-cased runs of letters and digits; a text of fewer than five words is one shingle;
 texts without words (null, empty) are one class; rows that share an id are classed each by its own text; a row with a null id takes
-a hash of its text for an id, and is never dropped; extra columns are ignored; an empty table gives an empty result.
+a hash of its text for an id, and is never dropped; ids are whole numbers, or strings of their digits; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
