@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pairing import small
+
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 
 
@@ -15,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per document: language stands for the tool, labels for scanner findings."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = d.join(small(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")), "doc_id", "left")
     toxic, m = F.coalesce("toxic", F.lit(0)) == 1, F.col("doc_id") % 5
     none = F.array().cast("array<string>")
     text = F.col("text")
