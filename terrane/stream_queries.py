@@ -54,7 +54,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_stall_alarms(spark, d):
-    """Alarms of users who were silent for 15 minutes, fired by timers in three runs of one stream."""
+    """Alarms of users who were silent for 15 minutes, told by the watermark in three runs of one stream."""
     e = _events(spark, d).select("user_id", "ts", "part")
     _, found = _runs([e.filter(f"part = {k}").drop("part") for k in range(3)], "stalls", lambda s, i: stateful.stalls(s, "user_id"))
     return _results(spark, found, "key string, last_us long, alarm_us long")

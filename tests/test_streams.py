@@ -76,6 +76,23 @@ def test_alarms_need_no_next_row_and_wait_for_late_ones(spark, tmp_path):
     assert alarms == [[], [("x", 10, 15), ("y", 0, 15)], [("y", 29, 15), ("z", 30, 15), ("z", 46, 15)]]
 
 
+def test_stalls_end_sessions_natively(spark, tmp_path):
+    """Times a whole gap apart still are one session, a microsecond more parts them; state is a row a session, and no row passes through Python."""
+    end = at(15)
+    parts = [[("x", at(0)), ("x", end), ("y", at(0)), ("y", end + timedelta(microseconds=1)), *[("z", at(m / 100)) for m in range(1000)]], [("w", at(200))]]
+    plans = []
+
+    def stream(landed):
+        made = stateful.stalls(landed, "user")
+        plans.append(made._jdf.queryExecution().analyzed().toString())
+        return made
+
+    found = runs(spark, tmp_path, "user string, ts timestamp", parts, stream)
+    base = int(START.timestamp() * 1e6)
+    assert sorted((r.key, r.last_us - base) for run in found for r in run) == [("x", 900_000_000), ("y", 0), ("y", 900_000_001), ("z", 599_400_000)]
+    assert not any("Python" in p or "Pandas" in p or "PySpark" in p for p in plans)
+
+
 def test_late_rows_are_counted_apart(spark, tmp_path):
     parts = [[("a", at(0), 1.0), ("a", at(30), 1.0)], [("a", at(29), 2.0), ("a", at(1), 8.0), ("a", at(60), 1.0)]]
     schema = "event_type string, ts timestamp, value double"
