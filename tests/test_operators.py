@@ -116,6 +116,29 @@ def test_pairing(spark):
     assert sorted((r.query_id, r.vec_id) for r in near) == [(3, 2), (3, 3), (3, 4), (10, 9), (10, 10), (10, 11)]
 
 
+def test_neighbours_without_a_distance_come_last(spark):
+    """Nulls, other lengths and components that are no numbers, next to copies, over several parts of both sides."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(i // 3), 0.5, -1.0]) for i in range(40)] + [(40, None), (41, [1.0, None, 2.0]), (42, [nan, 0.0, 0.0]), (43, [1.0, 0.5]), (44, [inf, 0.0, 0.0]), (45, [1e200, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def distance(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        total = 0.0
+        for x, y in zip(a, b):
+            total += (y - x) * (y - x)
+        return total**0.5 if total == total else nan
+
+    asked = [r for r in rows if r[0] % 4 == 0 or r[0] > 40]
+    wanted = []
+    for q, e in asked:
+        near = sorted((d is None, d != d, 0.0 if d is None or d != d else d, x, d) for x, y in rows for d in [distance(y, e)])
+        wanted += [(q, x, str(d), n) for n, (_, _, _, x, d) in enumerate(near[:7], 1)]
+    found = pairing.nearest(v.filter("vec_id % 4 = 0 or vec_id > 40"), v, 7, block=10).collect()
+    assert sorted((r.query_id, r.vec_id, str(r.distance), r["rank"]) for r in found) == sorted(wanted)
+
+
 def test_readers_tolerate_dirty_lines(spark, tmp_path):
     good = {"id": "a", "source": "s", "iac_tool": "docker", "file_path": "p", "code_before": "é", "code_after": None, "diff": None, "has_fix": True, "smells": [{"type": "x"}]}
     more = [good | {"id": "c", "unknown_key": 1}, good | {"id": "d", "smells": [{"type": "x", "odd": 1}]}, good | {"id": "e", "smells": [{"cwe": "x"}]}]
