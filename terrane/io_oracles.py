@@ -93,7 +93,7 @@ _HEX = "list_reduce(list_transform(string_split(substr(md5(user_id || ':' || eve
 ORACLES: dict[str, str] = {
     "read_strict": f"WITH {LINED} SELECT id, md5(text) AS code_md5, 'weak_hash' AS types FROM lines WHERE kind < 4",
     "read_lenient": f"WITH {LINED} SELECT id, 'docker' AS iac_tool FROM lines WHERE kind < 6",
-    "read_fail_fast": "SELECT 'D-' || doc_id AS id, false AS has_fix FROM documents",
+    "read_fail_fast": "SELECT 'D-' || doc_id AS id, CASE WHEN doc_id % 6 <> 5 THEN false END AS has_fix FROM documents",
     "read_glob": "SELECT 'D-' || doc_id AS id, 'part' || doc_id % 2 AS part FROM documents",
     "load_counts": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS e FROM documents) SELECT 'part' || i || '.jsonl' AS input, CASE i WHEN 0 THEN n WHEN 1 THEN e ELSE 0 END AS n_loaded, i = 2 AS missing, n + e AS total_loaded, e AS duplicates_removed FROM c, range(3) r(i)",
     "read_truth": "SELECT r_regionkey::VARCHAR AS file_id, r_name AS file, 'terraform' AS iac_tool, n_nationkey::VARCHAR AS smell_id, n_name AS type, (n_nationkey % 9)::INTEGER AS line FROM region JOIN nation ON n_regionkey = r_regionkey",

@@ -141,3 +141,12 @@ def test_the_index_by_radii_is_exact(spark, tmp_path):
         assert pairs(pairing.nearest_by_radii(asked, v, k, str(tmp_path / f"i{k}"), cells=8, block=50)) == pairs(pairing.nearest(asked, v, k))
     few = v.filter("vec_id < 4")
     assert pairs(pairing.nearest_by_radii(few, few, 9, str(tmp_path / "few"), cells=8)) == pairs(pairing.nearest(few, few, 9))
+
+
+def test_fail_fast_reads_lines_that_lack_keys(spark):
+    """The query's lines are of every kind that reading may take, one for each document."""
+    from terrane import io_oracles, io_queries
+
+    found = io_queries.read_fail_fast(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert {r.has_fix for r in found} == {False, None} and "% 6" in io_oracles.ORACLES["read_fail_fast"]
