@@ -20,13 +20,23 @@ def _literal(s: str) -> str:
 
 
 def smells_sql(text: str = "t") -> str:
-    """array<struct<type, match>> of a text as SQL: per type the first pattern that matches."""
+    """array<struct<type, match>> of a text as SQL: per type the first pattern that matches. Text and lower case are evaluated once, patterns only where a literal that they need is."""
     lists: dict[str, list[str]] = {}
     for name, patterns in rules.RULES:
         lists.setdefault(name, []).extend(patterns)
-    matches = {name: ", ".join(f"nullif(regexp_extract({text}, {_literal('(?im)' + p)}, 0), '')" for p in patterns) for name, patterns in lists.items()}
-    found = ", ".join(f"named_struct('type', {_literal(name)}, 'match', coalesce({m}))" for name, m in matches.items())
-    return f"filter(array({found}), x -> x.match IS NOT NULL)"
+
+    def hit(pattern: str) -> str:
+        match = f"nullif(regexp_extract(x.t, {_literal('(?im)' + pattern)}, 0), '')"
+        held = " OR ".join(f"contains(x.low, {_literal(guard)})" for guard in rules.guards(pattern))
+        every = " AND ".join([*(f"x.s{ord(c)}" for c in rules.required_signs(pattern)), *([f"({held})"] if held else [])])
+        return f"CASE WHEN {every} THEN {match} END" if every else match
+
+    told = sorted({c for patterns in lists.values() for p in patterns for c in rules.required_signs(p)})
+    signs = ", ".join(f"'s{ord(c)}', contains(y.low, {_literal(c)})" for c in told)
+
+    found = ", ".join(f"named_struct('type', {_literal(name)}, 'match', coalesce({', '.join(map(hit, patterns))}))" for name, patterns in lists.items())
+    once = f"transform(array(named_struct('t', {text}, 'low', lower({text}))), y -> named_struct('t', y.t, 'low', y.low, {signs}))"
+    return f"transform({once}, x -> filter(array({found}), y -> y.match IS NOT NULL))[0]"
 
 
 def register(spark: SparkSession) -> None:

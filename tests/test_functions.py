@@ -59,6 +59,21 @@ def test_guards_are_necessary_literals():
                 literal = rules.required_literal(p)
                 if literal and re.search(p, sample, re.I | re.M):
                     assert literal in sample.lower()
+                if re.search(p, sample, re.I | re.M):
+                    assert not rules.guards(p) or any(g in sample.lower() for g in rules.guards(p))
+                    assert all(c in sample for c in rules.required_signs(p))
+    assert rules.guards(r"\b(md5|sha1)\s*\(") == ["md5", "sha1"] and rules.guards(r"(ab|cde)x?") == rules.guards(r"(abc|def)?") == []
+    assert rules.required_signs(r"a_b\s*[=:]\s*\{-?\}") == ["_", "{", "}"]
+
+
+def test_rules_take_the_lower_case_once(spark):
+    """Spark shares nothing inside of array functions: each guard would lower the text anew."""
+    from terrane.functions import table_functions
+
+    rows = spark.createDataFrame([("x",)], "t string")
+    plan = rows.select(rules.smells(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t#") <= 1
+    assert table_functions.smells_sql("t").count("lower(t)") == 1
 
 
 @pytest.mark.parametrize(
