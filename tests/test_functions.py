@@ -127,3 +127,36 @@ def test_patches(spark):
     assert patches.apply("a\nb\n", made) == "a\nc\n" and patches.unified("x", made) == made
     row = spark.createDataFrame([("a\nB\nc", DIFF)], "a string, d string").select(patches.reverse_patch("a", "d").alias("r"), patches.apply_patch(F.lit("a\nb\nc"), "d").alias("f")).first()
     assert row.r.text == "a\nb\nc" and row.r.quality == "exact" and row.f == "a\nB\nc"
+
+
+def test_answers_are_evaluated_once(spark):
+    from terrane.functions import text
+
+    rows = spark.createDataFrame([("```diff\n--- a\n+++ b\n+x\n```\nend",), ("no diff",)], "t string")
+    made = rows.select(text.parse_response(F.upper("t")).alias("p"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("upper(t#") <= 1
+    assert [r.p for r in rows.select(text.parse_response(F.col("t")).alias("p")).collect()] == ["--- a\n+++ b\n+x", "no diff"]
+
+
+def test_patches_take_texts_by_slices():
+    """Of a batch only a slice's texts are Python strings at once."""
+    import gc
+
+    import pyarrow as pa
+
+    from terrane.functions import patches
+
+    class Text(str):
+        pass
+
+    most = 0
+
+    def made(before, after):
+        nonlocal most
+        out = Text(before + after)
+        most = max(most, sum(isinstance(x, Text) for x in gc.get_objects()) if len(before) % 50 == 0 else 0)
+        return out
+
+    rows = [None if i % 7 == 0 else "x" * i for i in range(1000)]
+    found = patches._by_slices(pa.string(), made, pa.array(rows), pa.array(["y"] * 1000))
+    assert found.to_pylist() == [(r or "") + "y" for r in rows] and most <= 2 * patches.SLICE
