@@ -4,7 +4,7 @@ Base spans come from three patterns. Every further run of token characters is re
 that holds it, and tested for chi-squared uniformity over that alphabet, for runs about the middle and for serial
 correlation. A token counts as random if none of the three rejects randomness and if text would hardly make it: its
 likelihood by the letter pairs, digits and changes of case of text and identifiers (counted over the standard library's names and
-documentation and over words of a bounded sample of the documents), over its likelihood in its encoding,
+documentation and over the words of all documents), over its likelihood in its encoding,
 bounds the p-value of text (Markov's inequality, shared by the encodings to choose from). These p-values go through a false-discovery control (Benjamini-Hochberg) within
 length classes over the whole corpus, on a histogram of p-values, so nothing unbounded is gathered.
 
@@ -56,8 +56,6 @@ ENCODINGS = [
 ]
 #: Characters that the likelihood of text tells apart: letters in lower case, one digit for all, signs.
 TEXT_ABC = LOWER + "0+/-_="
-#: Documents (expected, drawn by hash) whose words the likelihood of text is fitted on, beside names and words of the modules below.
-SAMPLE = 1_000
 #: Modules of the standard library whose names and documentation stand for text and identifiers.
 TEXT_MODULES = (
     "argparse ast asyncio base64 bisect calendar codecs collections concurrent.futures configparser contextlib csv ctypes dataclasses datetime decimal difflib email enum fractions ftplib "
@@ -160,15 +158,13 @@ def _library() -> tuple[dict[str, int], list[float]]:
     return dict(pairs), [-math.log(n / sum(row)) if n else 0.0 for row in cases for n in row]
 
 
-def corpus_pairs(docs: DataFrame, sample: int = SAMPLE) -> dict[str, int]:
-    """Counts of pairs over the distinct words of a sample of documents, ``sample`` of them in expectation: at most 27 * 27 numbers.
+def corpus_pairs(docs: DataFrame) -> dict[str, int]:
+    """Counts of pairs over the distinct words of all documents: at most 27 * 27 numbers.
 
     Words are shorter than tokens, so what is judged by the model takes no part in it.
     """
-    share = min(1.0, sample / max(1, docs.count()))
-    text = F.lower(whole_text())
-    drawn = docs.filter(F.pmod(F.xxhash64(F.lit("pairs"), whole_text()), F.lit(1 << 40)) < int(share * (1 << 40)))
-    words = drawn.select(F.explode(F.split(text, "[^a-z0-9]+")).alias("w")).filter(F.length("w").between(2, MIN_TOKEN - 1)).distinct()
+    said = docs.select(F.explode(F.split(F.lower(whole_text()), "[^a-z0-9]+")).alias("w"))
+    words = said.filter(F.length("w").between(2, MIN_TOKEN - 1)).distinct()
     low = words.select(F.translate("w", DIGITS, "0" * 10).alias("w"))
     pairs = low.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"))
     return {r.p: r.n for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}

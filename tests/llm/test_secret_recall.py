@@ -3,6 +3,8 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 from terrane.llm import secrets
 
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -26,3 +28,12 @@ def test_short_random_tokens_are_found(spark):
     print(dict(recall), len([i for i in found if i >= len(cases)]))
     assert all(count >= (85 if name == "lower" else 95) for (name, n), count in recall.items())
     assert len([i for i in found if i >= len(cases)]) <= 0.01 * len(found)
+
+
+def test_the_model_counts_the_words_of_all_documents(spark):
+    """Each distinct word once, however many documents there are."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Qz zq-"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" x qz")).alias("text"))
+    found = secrets.corpus_pairs(docs)
+    words = {"qz", "zq"} | {w for i in range(3000) if len(w := str(i).translate(str.maketrans("0123456789", "abcdefghij"))) > 1}
+    wanted = collections.Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    assert found == dict(wanted)
