@@ -74,6 +74,13 @@ def test_salvage(spark):
     assert by["b"].code_before_quality == "new_file" and not by["b"].has_fix and by["b"].smell_types == ["privileged_container"] and by["c"].code_before_quality == "api"
 
 
+def test_salvage_lowers_a_text_once(spark):
+    """The removed lines and the before side are each lowered once, not for each guard of a rule."""
+    cols = "id string, has_fix boolean, code_before_quality string, code_before string, code_after string, diff string, commit_message string, smell_types array<string>, rules_before array<string>, rules_after array<string>, n_smells int"
+    plan = corpus.salvage(spark.createDataFrame([], cols)).select("id", "code_before", "smells_added")._jdf.queryExecution().optimizedPlan().toString()
+    assert "diff#" in plan and plan.count("lower(") == 2
+
+
 def test_detection_edges(spark):
     det = [(1, "f", "C1", 5), (2, "f", "C1", 6), (3, "f", "C1", 30), (4, "f", "HEURISTIC", 5), (5, "f", "C2", None)]
     gt = [(10, "f", "C1", 10), (11, "f", "C2", 3), (12, "g", "C1", 5)]
